@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kgloom.llm import groups, names, splitting, survivors
+from kgloom.llm import groups, leakage, names, packing, splitting, subjects, survivors
 from kgloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,31 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return survivors.surviving_mentions(table(spark, sf, "align_decisions"), table(spark, sf, "align_judgments"), table(spark, sf, "align_candidates"))
 
 
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document in a container of 2,048 tokens, with its length."""
+    return packing.pack(packing.token_counts(table(spark, sf, "documents")))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p9_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaks with the verdict on their slots, also those with other names and numbers filled in."""
+    return leakage.leaked_templates(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = subjects.document_subjects(*(table(spark, sf, t) for t in ("documents", "doc_labels", "subject_areas", "eval_items")))
+    return found.select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus by subject: documents and sentences of each."""
+    found = subjects.document_subjects(*(table(spark, sf, t) for t in ("documents", "doc_labels", "subject_areas", "eval_items")))
+    return found.groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_sentences").alias("n_sentences"))
+
+
 _WS = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _EOL = r"(\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}])"
 
@@ -89,9 +115,20 @@ SELECT group_id, canonical AS canonical_entity_id, canonical_surface, coalesce(n
 """
 
 
+P9_SQL = r"""
+WITH d AS (SELECT doc_id AS k, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+i AS (SELECT item_id AS k, text FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+dw AS (SELECT k, list_filter(regexp_split_to_array(lower(regexp_replace(text, '[\p{Cf}''’ʼ`*~]+', '', 'g')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM d),
+iw AS (SELECT k, list_filter(regexp_split_to_array(lower(regexp_replace(text, '[\p{Cf}''’ʼ`*~]+', '', 'g')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM i),
+dx AS (SELECT k, array_to_string(w[n:n + 11], ' ') AS x FROM (SELECT k, w, unnest(range(1, len(w) - 10)) AS n FROM dw WHERE len(w) >= 12)),
+ix AS (SELECT k, array_to_string(w[n:n + 11], ' ') AS x FROM (SELECT k, w, unnest(range(1, len(w) - 10)) AS n FROM iw WHERE len(w) >= 12))
+SELECT DISTINCT dx.k AS doc_id, ix.k AS item_id FROM dx JOIN ix USING (x)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p7_found": p7_found}
+    return {f.__name__: f for f in (p1_found, p4_found, p4_pieces, p5_found, p7_found, p8_containers, p9_found, p9_templates, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL, "p5_found": P5_SQL, "p7_found": P7_SQL}
+    return {"p4_found": P4_SQL, "p5_found": P5_SQL, "p7_found": P7_SQL, "p9_found": P9_SQL}

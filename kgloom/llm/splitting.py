@@ -24,8 +24,8 @@ BOUNDARIES = ("paragraph", "line", "sentence", "word", "character")
 
 # Where each kind of unit ends. A finer unit also ends where the coarser ones do, since it is cut
 # out of them.
-_BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ])"
-_PARAGRAPH = re.compile(rf"{_BREAK}(?:[^\S\n\r\x0b\x0c\x1c-\x1e\x85  ]*{_BREAK})+")
+_BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
+_PARAGRAPH = re.compile(rf"{_BREAK}(?:[^\S\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*{_BREAK})+")
 _LINE = re.compile(_BREAK)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _WORD = re.compile(r"\s+")
