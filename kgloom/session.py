@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
 import uuid
 
@@ -51,18 +51,37 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget how it was made.
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path below the shared folder for a written table; removed when the program ends."""
+    base = f"{shared_dir(spark)}/kgloom-{spark.sparkContext.applicationId}"
+    if base not in _BASES:
+        _BASES.add(base)
+        atexit.register(_remove, spark, base)
+    return f"{base}/{label}-{uuid.uuid4().hex}"
 
-    A reliable checkpoint, so that a lost executor loses nothing that was already computed.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+_BASES: set[str] = set()
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder for a written table."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session has ended; nothing more can be removed through it
+        pass
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` as a table in the shared folder and forget how it was made.
+
+    A lost executor loses nothing that was written. Unlike a checkpoint, the table brings neither
+    the constraints of the plan that made it, which would multiply in every round of a loop, nor its
+    size estimate: what reads it knows its true size.
+    """
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def is_small(df: DataFrame, max_rows: int) -> bool:
