@@ -54,7 +54,7 @@ def datatype_properties(tbox: DataFrame) -> list[Property]:
 
 
 def wide_delta(batch: DataFrame, properties: Sequence[Property], subject: str = "s", prop: str = "p", value: str = "o", version: str = "loaded_at") -> DataFrame:
-    """One row per subject; a column per property holding ``struct<version, text>`` or null."""
+    """One row per subject; column ``c<i>`` holds the cell of property i, ``struct<version, text>`` or null."""
     ranges = F.create_map(*[F.lit(x) for p in properties for x in (p.name, p.range_local)]) if properties else None
     rows = batch.select(
         local_name(F.col(subject)).alias("subject_local"),
@@ -67,32 +67,38 @@ def wide_delta(batch: DataFrame, properties: Sequence[Property], subject: str =
     valued = rows.where(F.col("__p").isin([p.name for p in properties]) & F.col("__o").isNotNull()).withColumn("__r", ranges[F.col("__p")])
     # Invalid values are sifted in the fold: a filter here would be pushed down with the whole expression.
     cells = with_canonical(valued, "__o", "__r", "__x").select("subject_local", "__p", F.when(F.col("__x").isNotNull(), F.struct(F.col("__v").alias("version"), F.col("__x").alias("text"))).alias("__c"))
-    return cells.groupBy("subject_local").agg(*[F.max(F.when(F.col("__p") == p.name, F.col("__c"))).alias(p.name) for p in properties])
+    return cells.groupBy("subject_local").agg(*[F.max(F.when(F.col("__p") == p.name, F.col("__c"))).alias(f"c{i}") for i, p in enumerate(properties)])
 
 
 def compact(runs: Sequence[DataFrame]) -> DataFrame:
     """Merge runs of one schema into one row per subject, the latest version of every cell."""
     merged = reduce(DataFrame.unionByName, runs)
     names = [c for c in merged.columns if c != "subject_local"]
-    if not names:
-        return merged.distinct()
-    return merged.groupBy("subject_local").agg(*[F.max(F.col(f"`{c}`")).alias(c) for c in names])
+    return merged.groupBy("subject_local").agg(*[F.max(c).alias(c) for c in names]) if names else merged.distinct()
 
 
 def typed(delta: DataFrame, properties: Sequence[Property]) -> DataFrame:
-    """The wide table: typed columns without versions. Numbers beyond a column's type are null."""
+    """The wide table: typed columns without versions. Numbers beyond a column's type are null.
 
-    def cell(p: Property) -> Column:
-        text = F.col(f"`{p.name}`.text")
+    A property whose name clashes with an earlier column's, but for case, has its place appended.
+    """
+    taken = {"subject_local"}
+
+    def cell(i: int, p: Property) -> Column:
+        name = p.name if p.name.lower() not in taken else f"{p.name}_{i}"
+        taken.add(name.lower())
+        text = F.col(f"c{i}.text")
         kind = SPARK_TYPES.get(p.range_local)
-        return (text.try_cast(kind) if kind else text).alias(p.name)
+        return (text.try_cast(kind) if kind else text).alias(name)
 
-    return delta.select("subject_local", *[cell(p) for p in properties])
+    return delta.select("subject_local", *[cell(i, p) for i, p in enumerate(properties)])
 
 
 def cells(delta: DataFrame, properties: Sequence[Property]) -> DataFrame:
     """The non-null cells of the wide table, one row each, as canonical text."""
-    pairs = F.array(*[F.struct(F.lit(p.name).alias("property_local"), F.col(f"`{p.name}`.text").alias("value_text")) for p in properties])
+    if not properties:
+        return delta.select("subject_local", F.lit("").alias("property_local"), F.lit("").alias("value_text"))
+    pairs = F.array(*[F.struct(F.lit(p.name).alias("property_local"), F.col(f"c{i}.text").alias("value_text")) for i, p in enumerate(properties)])
     return delta.select("subject_local", F.inline(pairs)).where(F.col("value_text").isNotNull())
 
 
