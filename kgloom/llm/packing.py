@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.session import cut
+
 CAPACITY = 2048
 SHARD_ITEMS = 8192
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -116,10 +118,11 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", size
     the rest, which is packed like any item. Items without tokens need no container and have no row.
     """
     kind = dict(lengths.dtypes)[key]
-    items = lengths.where(F.col(key).isNotNull() & (F.col(size) > 0)).select(F.col(key).alias("k"), F.col(size).cast("bigint").alias("n"))
+    # Lengths are written once: they are counted, then packed, and texts must not be tokenized twice.
+    items = cut(lengths.where(F.col(key).isNotNull() & (F.col(size) > 0)).select(F.col(key).alias("k"), F.col(size).cast("bigint").alias("n")))
     shards = max(1, math.ceil(items.count() / shard_items))
-    cut = items.select("k", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {capacity}")), lambda i: F.struct(i.cast("int").alias("ix"), F.least(F.col("n") - i * capacity, F.lit(capacity)).cast("int").alias("n")))).alias("p"))
-    pieces = cut.select("k", F.col("p.ix").alias("ix"), F.col("p.n").alias("n"), F.pmod(F.xxhash64("k"), F.lit(shards)).alias("shard"))
+    cut_up = items.select("k", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {capacity}")), lambda i: F.struct(i.cast("int").alias("ix"), F.least(F.col("n") - i * capacity, F.lit(capacity)).cast("int").alias("n")))).alias("p"))
+    pieces = cut_up.select("k", F.col("p.ix").alias("ix"), F.col("p.n").alias("n"), F.pmod(F.xxhash64("k"), F.lit(shards)).alias("shard"))
     full = pieces.where(F.col("n") == capacity).select("k", "ix", "n", F.concat_ws("-", F.lit("full"), F.col("k").cast("string"), F.col("ix").cast("string")).alias("container"))
 
     def one_shard(pdf: pd.DataFrame) -> pd.DataFrame:
