@@ -7,8 +7,8 @@ the given name, the business words, the designation. Initials are weak evidence
 Profiles block on the deletion neighbourhood of their spelling (two spellings within one edit share
 a variant) together with a distinguishing key. Records that share a block merge; the merged record
 has the spellings, keys and initials of all its members and enters blocking again, until nothing
-merges any more. A record with initials only joins the one full record that they fit; where they
-fit several, it joins none.
+merges any more. A record with initials only joins the full record that they fit; where they fit
+records of different keys, it joins none.
 
 A block is reduced to its smallest member before any pairing, so hot names are never paired off
 within a group; what is shuffled per round is one row per record, spelling variant and key.
@@ -78,6 +78,8 @@ def _near_table(words: tuple[str, ...], least: int) -> dict[str, set[str]]:
     return table
 
 
+#: No listed word is longer, one insertion included.
+_LONGEST = 1 + max(map(len, (*BUSINESS, *KIND_WORDS, *GIVEN_NAMES)))
 _NEAR_BUSINESS = _near_table(BUSINESS, 5)
 _NEAR_KIND = _near_table(KIND_WORDS, 5)
 _NEAR_GIVEN = _near_table(tuple(GIVEN_NAMES), 5)
@@ -98,6 +100,8 @@ def _one_edit(a: str, b: str) -> bool:
 
 
 def _near(word: str, table: dict[str, set[str]]) -> str | None:
+    if len(word) > _LONGEST:
+        return None
     found = {w for v in deletions(word) for w in table.get(v, ()) if _one_edit(word, w)}
     return min(found) if found else None
 
@@ -146,8 +150,10 @@ def parse(text: str) -> tuple[str, str, str | None, list[str]] | None:
         words = re.findall(r"\w+", text.lower())
         return "other", " ".join(sorted(words)), "", []
     # Dotted legal forms follow at least two words; behind a surname they are initials.
+    end = text.rstrip()
     for form in ("g.m.b.h.", "s.p.a.", "a.g.", "s.a.", "l.l.c.", "p.l.c."):
-        text = re.sub(rf"(?i)(\w{{2,}}[\s,_-]+\w[\w.]+[\s,_-]+){re.escape(form)}", rf"\1{form.replace('.', '')}", text)
+        if end.lower().endswith(form) and sum(len(w) > 1 for w in re.findall(r"\w+", end[: -len(form)])) > 1:
+            text = end[: -len(form)] + form.replace(".", "")
     split = re.sub(r"(?<=[a-z])(?=[A-Z][a-z]{2})", " ", text)
     tokens = re.findall(r"[^\W\d_]+", split)
     if not tokens:
@@ -218,16 +224,30 @@ def _person(text: str, tokens: list[str]) -> tuple[str, str, str | None, list[st
     return "person", surname, "", []
 
 
+_PRIME, _BASE = (1 << 61) - 1, 0x5851F42D4C957F2D % ((1 << 61) - 1)
+
+
+def neighbourhood(spelling: str) -> list[int]:
+    """Hashes of the spelling and of all its deletions of one character, in time linear in its length."""
+    n = len(spelling)
+    prefix, power = [0], [1]
+    for c in spelling:
+        prefix.append((prefix[-1] * _BASE + ord(c)) % _PRIME)
+        power.append(power[-1] * _BASE % _PRIME)
+    whole = prefix[n]
+    # Without character i: what is before it, moved up, and what is behind it.
+    return sorted({whole} | {(prefix[i] * power[n - 1 - i] + whole - prefix[i + 1] * power[n - 1 - i]) % _PRIME for i in range(n)})
+
+
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         got = [(s, *p) for s in batch["surface"] if (p := parse(s)) is not None]
         yield pd.DataFrame(got, columns=["surface", "kind", "spelling", "strong", "weak"])
 
 
-def variants(spelling: str) -> str:
-    """SQL for the deletion neighbourhood of a spelling."""
-    s = spelling
-    return f"array_distinct(concat(array({s}), transform(sequence(1, greatest(length({s}), 1)), i -> concat(substring({s}, 1, i - 1), substring({s}, i + 1)))))"
+def _variant_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b.assign(variants=[neighbourhood(s) for s in b["spelling"]])
 
 
 def resolve(surfaces: DataFrame, surface: str = "surface") -> DataFrame:
@@ -240,7 +260,8 @@ def resolve(surfaces: DataFrame, surface: str = "surface") -> DataFrame:
     parsed = texts.mapInPandas(_parse_batches, "surface string, kind string, spelling string, strong string, weak array<string>")
     same = F.xxhash64(F.col("kind"), F.col("spelling"), F.coalesce("strong", F.concat(F.lit("\u0000"), F.array_join("weak", " "))))
     parsed = cut(parsed.withColumn("profile", same))
-    profiles = cut(parsed.groupBy("profile").agg(F.first("kind").alias("kind"), F.first("spelling").alias("spelling"), F.first("strong").alias("strong"), F.array_distinct(F.flatten(F.collect_set("weak"))).alias("weak")))
+    different = parsed.groupBy("profile").agg(F.first("kind").alias("kind"), F.first("spelling").alias("spelling"), F.first("strong").alias("strong"), F.array_distinct(F.flatten(F.collect_set("weak"))).alias("weak"))
+    profiles = cut(different.mapInPandas(_variant_batches, "profile bigint, kind string, spelling string, strong string, weak array<string>, variants array<bigint>"))
     label = profiles.select("profile", F.col("profile").alias("record"))
     while True:
         links = cut(_links(profiles, label))
@@ -254,25 +275,26 @@ def resolve(surfaces: DataFrame, surface: str = "surface") -> DataFrame:
 def _links(profiles: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs of records (a, b) that the current blocking merges."""
     now = profiles.join(label, "profile")
-    spelled = now.select("record", "kind", F.explode(F.expr(variants("spelling"))).alias("variant")).distinct()
+    spelled = now.select("record", "kind", F.explode("variants").alias("variant")).distinct()
     strong = now.where(F.col("strong").isNotNull()).select("record", "strong").distinct()
     # Records with a distinguishing key: all that share a variant and the key are one.
     block = F.xxhash64("kind", "variant", "strong").alias("block")
     keyed = cut(spelled.join(strong, "record").select("record", block).distinct())
     least = keyed.groupBy("block").agg(F.min("record").alias("a"), F.max("record").alias("z")).where(F.col("a") != F.col("z"))
     full = keyed.join(least.select("block", "a"), "block").where(F.col("record") != F.col("a")).select("a", F.col("record").alias("b"))
-    # Records with initials only: the one full record that fits, first by the same spelling.
-    has = strong.select("record").distinct().withColumn("full", F.lit(True))
+    # Records with initials only: the one full record that fits, first by the same spelling. Full
+    # records of one distinguishing key are one thing, bridged by the spelling between theirs.
     weak = now.select("record", F.explode("weak").alias("w")).distinct()
-    kinds = now.select("record", "kind", F.col("spelling").alias("variant"), F.lit(True).alias("exact")).distinct()
+    kinds = now.select("record", "kind", F.xxhash64("spelling").alias("variant"), F.lit(True).alias("exact")).distinct()
     near = spelled.select("record", "kind", "variant", F.lit(False).alias("exact"))
-    hints = kinds.unionAll(near).join(weak, "record").join(has, "record", "left").select("record", F.coalesce("full", F.lit(False)).alias("full"), "exact", F.xxhash64("kind", "variant", "w", "exact").alias("block"))
-    hints = cut(hints.distinct())
-    fits = hints.where("full").groupBy("block").agg(F.min("record").alias("lo"), F.max("record").alias("hi"))
-    asked = hints.where(~F.col("full")).join(fits, "block").groupBy("record", "exact").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    one = asked.groupBy("record").agg(F.max(F.when(F.col("exact"), F.struct("lo", "hi"))).alias("x"), F.max(F.when(~F.col("exact"), F.struct("lo", "hi"))).alias("n"))
-    pick = F.coalesce("x", "n")
-    initials = one.where(pick["lo"] == pick["hi"]).select(pick["lo"].alias("a"), F.col("record").alias("b"))
+    hints = kinds.unionAll(near).join(weak, "record").join(strong, "record", "left")
+    hints = cut(hints.select("record", "strong", "exact", F.xxhash64("kind", "variant", "w", "exact").alias("block")).distinct())
+    ends = [F.min("record").alias("lo"), F.max("record").alias("hi"), F.min("strong").alias("s"), F.max("strong").alias("t")]
+    fits = hints.where(F.col("strong").isNotNull()).groupBy("block").agg(*ends)
+    asked = hints.where(F.col("strong").isNull()).join(fits, "block").groupBy("record", "exact").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("s").alias("s"), F.max("t").alias("t"))
+    one = asked.groupBy("record").agg(F.max_by(F.struct("lo", "hi", "s", "t"), "exact").alias("x"))
+    fit = one.where((F.col("x.lo") == F.col("x.hi")) | (F.col("x.s") == F.col("x.t")))
+    initials = fit.select(F.explode(F.array("x.lo", "x.hi")).alias("a"), F.col("record").alias("b"))
     return full.unionAll(initials).distinct()
 
 

@@ -60,7 +60,8 @@ def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _WS = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_EOL = r"(\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}])"
+# A carriage return with line feed is one line end: marked as such first, by as many characters.
+_EOL = r"(\x{e000}\x{e001}|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}])"
 
 P4_SQL = rf"""
 WITH c AS (
@@ -69,7 +70,7 @@ WITH c AS (
       THEN array_to_string(list_filter(list_transform(section_path, lambda x: x.title), lambda t: t IS NOT NULL), ' > ') ELSE '(no section)' END || ']' || chr(10) || chr(10) AS ctx
   FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL),
 o AS (SELECT chunk_id, 2048 - length(ctx) AS room,
-    regexp_replace(text, '{_EOL}([ \t]*{_EOL})+', chr(1), 'g') AS t1 FROM c WHERE length(ctx) + length(text) > 2048),
+    regexp_replace(replace(text, chr(13) || chr(10), chr(57344) || chr(57345)), '{_EOL}([ \t]*{_EOL})+', chr(1), 'g') AS t1 FROM c WHERE length(ctx) + length(text) > 2048),
 o2 AS (SELECT *, regexp_replace(t1, '{_EOL}', chr(1), 'g') AS t2 FROM o),
 o3 AS (SELECT *, regexp_replace(t2, '([.!?]){_WS}+', '\1' || chr(1), 'g') AS t3 FROM o2),
 o4 AS (SELECT *, regexp_replace(t3, '{_WS}+', chr(1), 'g') AS t4 FROM o3),

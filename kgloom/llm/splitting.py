@@ -24,7 +24,7 @@ BOUNDARIES = ("paragraph", "line", "sentence", "word", "character")
 
 # Where each kind of unit ends. A finer unit also ends where the coarser ones do, since it is cut
 # out of them.
-_BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
+_BREAK = r"(?:\r\n|\r(?!\n)|[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
 _PARAGRAPH = re.compile(rf"{_BREAK}(?:[^\S\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*{_BREAK})+")
 _LINE = re.compile(_BREAK)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -73,7 +73,8 @@ def atoms(text: str, room: int, level: int = 0, start: int = 0) -> Iterator[tupl
     while stack:
         a, b, k = stack.pop()
         if b - a <= room:
-            yield a, b
+            if b > a:
+                yield a, b
         elif k == len(_ENDS):
             yield from ((x, min(x + room, b)) for x in range(a, b, room))
         else:
@@ -114,7 +115,7 @@ def split_items(items: DataFrame, item: str = "id", text: str = "text", context:
     ``context`` is put in front of every piece and counts towards the limit, in characters. An item
     whose context leaves no room for a single character is cut to pieces of ``limit`` characters
     without it. ``boundary`` is the coarsest kind of unit that serves for the whole item, overlap not
-    counted. Items that fit, null ids and null texts have no rows; a repeated row repeats its
+    counted. Items that fit, null ids, null and blank texts have no rows; a repeated row repeats its
     pieces (:func:`chunk_pieces` drops them).
     """
     context = F.lit("") if context is None else context
@@ -128,6 +129,8 @@ def split_items(items: DataFrame, item: str = "id", text: str = "text", context:
             for i, t, c in zip(batch["item"], batch["text"], batch["context"]):
                 room, head = (limit - len(c), c) if len(c) < limit else (limit, "")
                 got = pieces(t, room, overlap)
+                if not got:
+                    continue
                 yield pd.DataFrame({"item": i, "piece_ix": range(len(got)), "boundary": boundary(t, limit - len(c)), "piece": [head + p for p in got]})
 
     kind = dict(over.dtypes)["item"]
