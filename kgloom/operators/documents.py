@@ -6,10 +6,11 @@ state, so it runs as an Arrow-batched Python function over rows: no shuffle, one
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +46,9 @@ def text_heading_level(line: Column) -> Column:
 def text_to_markdown(content: Column) -> Column:
     """Plain text with ``#`` marks in front of its headings; a final line end is lost."""
     lines = F.split(F.regexp_replace(content, r"\n\z", ""), "\n")
-    return F.array_join(F.transform(lines, lambda x: F.when(text_heading_level(x).isNotNull(), F.concat(F.repeat(F.lit("#"), text_heading_level(x)), F.lit(" "), strip(x))).otherwise(x)), "\n")
+    # The level is worked out once per line, then used.
+    levelled = F.transform(lines, lambda x: F.struct(x.alias("x"), text_heading_level(x).alias("n")))
+    return F.array_join(F.transform(levelled, lambda y: F.when(y["n"].isNotNull(), F.concat(F.repeat(F.lit("#"), y["n"]), F.lit(" "), strip(y["x"]))).otherwise(y["x"])), "\n")
 
 
 def body_sizes(spans: DataFrame, pages: int = 5) -> DataFrame:
@@ -180,34 +183,50 @@ def scan_chunks(text: str, max_tokens: int = MAX_TOKENS) -> Iterator[tuple[int,
     yield from chunk("".join(held), start, at)
 
 
+_NODE = pa.struct([("level", pa.int32()), ("title", pa.string()), ("anchor", pa.string())])
+_PLACE = pa.struct([("source_id", pa.string()), ("source_path", pa.string()), ("source_format", pa.string()), ("page", pa.int32()), ("line_start", pa.int32()), ("line_end", pa.int32())])
+_CHUNK_ARROW = pa.schema(
+    [("artifact_id", pa.string()), ("chunk_ix", pa.int32()), ("id", pa.string()), ("text", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32()), ("token_count", pa.int32()), ("section_path", pa.list_(_NODE)), ("locator", _PLACE)]
+)
+#: Rows handed on at a time; bounds a task's memory.
+_ROWS = 2000
+
+
+def _chunk_rows(batch: pa.RecordBatch, max_tokens: int) -> Iterator[list[dict]]:
+    out: list[dict] = []
+    for doc in batch.to_pylist():
+        text, pages, seen, lines = doc["markdown"], doc["page_map"] or [], 0, 0
+        for i, (a, z, body, path) in enumerate(scan_chunks(text, max_tokens)):
+            page = first = last = None
+            if pages:
+                page = next((p["page"] for p in pages if p["char_start"] <= a < p["char_end"]), pages[-1]["page"])
+            else:
+                # Offsets may lag after a cut, so counting starts again where one goes back.
+                lines, seen = (lines + text.count("\n", seen, a) if a >= seen else text.count("\n", 0, a)), a
+                first, last = lines + 1, lines + 1 + text.count("\n", a, z)
+            key = hashlib.sha256(f"{doc['source_sha256']}:{a}:{z}".encode()).hexdigest()[:16]
+            place = {"source_id": doc["id"], "source_path": doc["source_path"], "source_format": doc["source_format"], "page": page, "line_start": first, "line_end": last}
+            nodes = [{"level": n, "title": t, "anchor": s} for n, t, s in path]
+            out.append({"artifact_id": doc["artifact_id"], "chunk_ix": i, "id": key, "text": body, "char_start": a, "char_end": z, "token_count": max(1, len(body) // 4), "section_path": nodes, "locator": place})
+            if len(out) >= _ROWS:
+                yield out
+                out = []
+    if out:
+        yield out
+
+
 def chunk_documents(documents: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Chunks of ``documents`` (id, source_path, source_format, source_sha256, markdown, page_map).
 
     Null texts have none. Positions are pages for documents with pages, else lines.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
-        for b in batches:
-            for doc in b.itertuples(index=False):
-                pages = [] if doc.page_map is None else list(doc.page_map)
-                out, counted, lines = [], 0, 0
-                for i, (a, z, body, path) in enumerate(scan_chunks(doc.markdown, max_tokens)):
-                    page = first = last = None
-                    if pages:
-                        page = next((p["page"] for p in pages if p["char_start"] <= a < p["char_end"]), pages[-1]["page"])
-                    else:
-                        lines, counted = lines + doc.markdown.count("\n", counted, a) if a >= counted else doc.markdown.count("\n", 0, a), a
-                        first = lines + 1
-                        last = first + doc.markdown.count("\n", a, z)
-                    key = hashlib.sha256(f"{doc.source_sha256}:{a}:{z}".encode()).hexdigest()[:16]
-                    out.append((doc.artifact_id, i, key, body, a, z, max(1, len(body) // 4), [dict(zip(("level", "title", "anchor"), p)) for p in path],
-                                {"source_id": doc.id, "source_path": doc.source_path, "source_format": doc.source_format, "page": page, "line_start": first, "line_end": last}))
-                yield pd.DataFrame(out, columns=["artifact_id", "chunk_ix", "id", "text", "char_start", "char_end", "token_count", "section_path", "locator"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from (pa.RecordBatch.from_pylist(part, schema=_CHUNK_ARROW) for part in _chunk_rows(batch, max_tokens))
 
     rows = documents.where(F.col("markdown").isNotNull()).select("id", "source_path", "source_format", "source_sha256", "markdown", "page_map", short_hash(F.col("id"), F.lit("chunks"), sep=":").alias("artifact_id"))
-    return rows.mapInPandas(cut, CHUNK_SCHEMA)
+    return rows.mapInArrow(cut, CHUNK_SCHEMA)
 
 
 def eligible(chunks: DataFrame, least: int = MIN_CHUNK_CHARS, first: int | None = None) -> DataFrame:
