@@ -30,7 +30,7 @@ from kgloom.session import cut
 
 # Words of organisations' names, legal forms, kinds of components, given names with
 # their short forms, titles.
-BUSINESS = ("aerospace", "analytics", "aviation", "avionics", "communications", "composites", "controls", "dynamics", "electronics", "energy", "engineering", "industries", "instruments", "laboratories", "logistics", "manufacturing", "materials", "mechanics", "navigation", "optics", "orbital", "power", "propulsion", "research", "robotics", "sciences", "semiconductors", "services", "software", "solutions", "space", "structures", "systems", "technologies")
+BUSINESS = ("aerospace", "avionics", "composites", "dynamics", "energy", "engineering", "instruments", "laboratories", "materials", "navigation", "orbital", "propulsion", "research", "robotics", "systems", "technologies")
 BUSINESS_SHORT = {"labs": "laboratories", "lab": "laboratories", "tech": "technologies", "technology": "technologies", "eng": "engineering", "engrg": "engineering", "sys": "systems", "system": "systems", "aero": "aerospace", "nav": "navigation", "prop": "propulsion", "res": "research", "instr": "instruments", "inst": "instruments", "mat": "materials", "matls": "materials", "dyn": "dynamics", "comp": "composites", "compos": "composites", "rob": "robotics", "orb": "orbital", "av": "avionics", "avion": "avionics", "en": "energy", "mfg": "manufacturing"}
 LEGAL = ("co", "company", "corp", "corporation", "gmbh", "inc", "incorporated", "ltd", "limited", "llc", "plc", "spa", "ag", "sa", "bv", "srl", "oy", "kg")
 KIND_WORDS = ("reaction", "wheel", "assembly", "assy", "star", "tracker", "head", "onboard", "computer", "comp", "cold", "gas", "thruster", "thr", "power", "distribution", "distr", "unit", "battery", "batt", "pack", "patch", "antenna", "band", "transceiver", "xcvr", "pressure", "regulator", "reg", "sun", "sensor", "array", "magnetic", "mag", "torque", "rod", "gimbal", "control", "ctrl", "module", "panel", "tank", "valve", "pump", "heater", "radiator", "by")
@@ -111,6 +111,8 @@ def _business(token: str) -> str | None:
     t = token.lower()
     if t in BUSINESS:
         return t
+    if t in _GIVEN_OF:
+        return None
     if t in BUSINESS_SHORT:
         return BUSINESS_SHORT[t]
     starts = [w for w in BUSINESS if len(t) >= 3 and w.startswith(t)]
@@ -175,6 +177,9 @@ def _organisation(tokens: list[str]) -> tuple[str, str, str | None, list[str]] |
     while len(words) > 2 and words[-1].lower() in LEGAL:
         words.pop()
         legal = True
+    # Capitals behind a house not in capitals are initials of its business words.
+    if len(words) == 2 and words[1].isupper() and 2 <= len(words[1]) <= 5 and len(words[0]) > 5 and not words[0].isupper() and not _givens(words[0]):
+        return "organisation", words[0].lower(), None, [words[1].lower()]
     known = [(_business(w) if len(w) > 1 else None) for w in words]
     # A proper name that happens to be near a business word is the only unknown token's counterpart.
     houses = [w for w, k in zip(words, known) if k is None]
@@ -185,8 +190,6 @@ def _organisation(tokens: list[str]) -> tuple[str, str, str | None, list[str]] |
         kept = [k or w.lower() for w, k in zip(words, known) if w is not house]
         kept = [k for k in kept if k not in LEGAL]
         return "organisation", house.lower(), " ".join(sorted(kept)), ["".join(k[0] for k in kept)]
-    if len(words) == 2 and words[1].isupper() and 2 <= len(words[1]) <= 5 and len(words[0]) > 5 and not _givens(words[0]):
-        return "organisation", words[0].lower(), None, [words[1].lower()]
     if legal:
         house = max(words, key=len)
         return "organisation", house.lower(), " ".join(sorted(w.lower() for w in words if w is not house)), []
@@ -239,6 +242,12 @@ def neighbourhood(spelling: str) -> list[int]:
     return sorted({whole} | {(prefix[i] * power[n - 1 - i] + whole - prefix[i + 1] * power[n - 1 - i]) % _PRIME for i in range(n)})
 
 
+def spelling_keys(spelling: str) -> list[int]:
+    """Neighbourhood of a spelling, and of it with every letter typed several times in a row once."""
+    once = re.sub(r"([^\W\d])\1+", r"\1", spelling)
+    return neighbourhood(spelling) if once == spelling else sorted({*neighbourhood(spelling), *neighbourhood(once)})
+
+
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         got = [(s, *p) for s in batch["surface"] if (p := parse(s)) is not None]
@@ -247,7 +256,7 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _variant_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield b.assign(variants=[neighbourhood(s) for s in b["spelling"]])
+        yield b.assign(variants=[spelling_keys(s) for s in b["spelling"]])
 
 
 def resolve(surfaces: DataFrame, surface: str = "surface") -> DataFrame:

@@ -40,6 +40,9 @@ def _t(i):
         ("gabriella ruganobitel", ("person", "ruganobitel", "gabriella")),
         ("S KODAMEFADUN", ("person", "kodamefadun", None)),
         ("Lirakopason, A.G.", ("person", "lirakopason", None)),
+        ("Rob Podabopusor", ("person", "podabopusor", "robert")),
+        ("Bupasutivur ELE", ("organisation", "bupasutivur", None)),
+        ("Vupanenaman Naviation", ("organisation", "vupanenaman", "navigation")),
         ("", None), ("  ", None), ("!?", ("other", "!?", "")),
     ],
 )
