@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from kgloom.functions import text as T
 from kgloom.functions.lexical import OWL, RDF_TYPE, RDFS
+from kgloom.functions import render
 from kgloom.operators import align, conflicts, documents, evaluate, generate, graph, rules, synthesis
+from kgloom.plans import pipelines
 from kgloom.providers import functions as llm_functions
 from kgloom.providers import get_provider
 from kgloom.session import table
@@ -745,6 +747,62 @@ def token_usage(spark: SparkSession, sf: str) -> DataFrame:
     return c.agg(F.sum(F.floor(F.length("text") / 4)).alias("about"))
 
 
+@query(f"""WITH {_DELTA} SELECT DISTINCT new AS s, 'http://www.w3.org/2004/02/skos/core#altLabel' AS p, regexp_extract(old, '[^#/]*$') AS o FROM rw""")
+def alt_labels(spark: SparkSession, sf: str) -> DataFrame:
+    d = _delta(spark, sf)
+    return pipelines.alt_labels(d, align.rewrite_map(table(spark, sf, "align_decisions"), align.entity_iris(d)))
+
+
+@query(f"""WITH {_values(_RULES, 'rules', _RULE_COLUMNS)} SELECT rule_id, 'For ' || CASE WHEN object_type IS NULL THEN 'each ' || subject_type WHEN subject_type IS NULL THEN 'each ' || object_type ELSE 'each pair of ' || subject_type || ' and ' || object_type END
+  || ': is ' || attribute || ' ' || operator || ' ' || value || coalesce(' ' || unit, '') || '?' AS question FROM rules""")
+def rule_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return rule_table(spark).select("rule_id", render.rule_question(*[F.col(c) for c in ("subject_type", "object_type", "attribute", "operator", "value", "unit")]).alias("question"))
+
+
+@query(f"""WITH {_G}, t AS (SELECT DISTINCT s FROM g WHERE p = '{RDF_TYPE}' AND o = '{FLEET}Thruster'),
+v AS (SELECT s, k, string_agg(v, ', ' ORDER BY v) AS v FROM (SELECT DISTINCT s, regexp_extract(p, '[^#/]*$') AS k, o AS v FROM g WHERE p <> '{RDF_TYPE}' AND s IN (SELECT s FROM t)) GROUP BY 1, 2)
+SELECT t.s, '* ' || regexp_extract(t.s, '[^#/]*$') || coalesce(chr(10) || b.x, '') AS block FROM t LEFT JOIN (SELECT s, string_agg('  - ' || k || ': ' || v, chr(10) ORDER BY k) AS x FROM v GROUP BY 1) b USING (s)""")
+def individual_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.type_scan(fleet(spark, sf), FLEET + "Thruster").select("s", render.individual_block(F.col("s"), F.col("props")).alias("block"))
+
+
+@query("""WITH n AS (SELECT CASE kind WHEN 'class' THEN 1 WHEN 'object' THEN 2 ELSE 3 END AS k, CASE kind WHEN 'class' THEN 'Classes: ' WHEN 'object' THEN 'Object properties: ' ELSE 'Datatype properties: ' END
+  || string_agg(local_name || CASE WHEN kind = 'datatype' THEN ' (' || regexp_extract(range_iri, '[^#/]*$') || ')' ELSE '' END, ', ' ORDER BY local_name || CASE WHEN kind = 'datatype' THEN ' (' || regexp_extract(range_iri, '[^#/]*$') || ')' ELSE '' END) AS t FROM tbox GROUP BY kind)
+SELECT string_agg(t, chr(10) ORDER BY k) AS text FROM n""")
+def tbox_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    return render.tbox_block(graph.tbox_summary(fleet(spark, sf), FLEET))
+
+
+@query(f"WITH {_G}, {_I} SELECT substr(s, {len(FLEET) + 1}) AS name FROM ind WHERE s LIKE '{FLEET}%'")
+def individual_names(spark: SparkSession, sf: str) -> DataFrame:
+    return pipelines.locals_under(fleet(spark, sf), FLEET)
+
+
+@query()
+def graph_sha256(spark: SparkSession, sf: str) -> DataFrame:
+    return pipelines.graph_hash(fleet(spark, sf))
+
+
+@query(f"""WITH {_IMPACT_SQL}, c AS (SELECT h.scenario_id, (SELECT count(*) FROM hit x WHERE x.scenario_id = h.scenario_id) AS p, (SELECT count(DISTINCT lower(rule_id)) FROM truth t WHERE t.scenario_id = h.scenario_id) AS t,
+  (SELECT count(*) FROM hit x JOIN (SELECT DISTINCT scenario_id, lower(rule_id) AS r FROM truth) y ON y.scenario_id = x.scenario_id AND y.r = x.rule_id WHERE x.scenario_id = h.scenario_id) AS h FROM (SELECT DISTINCT scenario_id FROM hit) h)
+SELECT scenario_id, 'ontology' AS winner FROM c""")
+def impact_winner(spark: SparkSession, sf: str) -> DataFrame:
+    changes = spark.createDataFrame(_IMPACT, "scenario_id string, s string, p string, new_value string")
+    truth = spark.createDataFrame(_TRUTH, "scenario_id string, rule_id string")
+    return pipelines.analyze_impact(_each(spark), relational(spark, sf), changes, truth)["winners"]
+
+
+_FOUND_RULES = (("d1", "Nation_1", "Supplier_1", "acctBal", ">", "-1000"), ("d2", "Nation_1", "Supplier_2", "acctBal", "<", "-99999"), ("d3", "Customer_3", None, "segment", "!=", "none"), ("d4", "Nation_1", "Nobody", "acctBal", ">", "0"))
+
+
+@query(f"""WITH {_R}, {_values(_FOUND_RULES, 'dr', 'rule_id, subject, object, attribute, operator, value')},
+j AS (SELECT dr.*, r.o AS stated FROM dr JOIN r ON r.s = '{KG}' || coalesce(object, subject) AND r.p = '{KG}' || attribute)
+SELECT subject, object, attribute || '_' || operator || '_threshold' AS conflict_type, attribute || ' = ' || stated AS evidence FROM j WHERE {_compare_sql('stated', 'operator', 'value')}""")
+def detected_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    found = spark.createDataFrame(_FOUND_RULES, "rule_id string, subject string, object string, attribute string, operator string, value string")
+    return pipelines.detect_conflicts(relational(spark, sf), KG, found).select("subject", "object", "conflict_type", "evidence")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
