@@ -6,7 +6,8 @@ polynomials (the product of ``z - h`` over the rows) at a few points. The ratio
 rational function whose numerator has the hashes of rows on the first side only as roots, the
 denominator those on the second side only. It is interpolated under a bound on the number of
 differences that starts at ``FIRST_BOUND`` and is doubled for the buckets that two further points
-do not confirm. The rows of the recovered hashes are then fetched and compared field by field.
+do not confirm, up to the bound at which the evaluations would be half as many as the bucket's hashes:
+those of such a bucket are compared themselves. The rows of the recovered hashes are then fetched and compared field by field.
 
 Buckets are cut from the row hash, not from the key, so no key, however frequent, fills one; equal
 rows are merged before the shuffle. Only hashes are shuffled for the search, and only rows once,
@@ -150,6 +151,13 @@ def differing(a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray)
                 good = (left == right).all(1)
                 only_a[rows[good]], only_b[rows[good]] = mark_a[good], mark_b[good]
                 done[k[good]] = True
+        # Where the next sketch would not be half as long as the bucket itself, the hashes are compared.
+        listed = ~done & (4 * bound >= na[open_] + nb[open_])
+        for i in open_[listed]:
+            x, y = a[i][in_a[i]], b[i][in_b[i]]
+            only_a[i] = in_a[i] & ~np.isin(a[i], y)
+            only_b[i] = in_b[i] & ~np.isin(b[i], x)
+        done |= listed
         open_, fa, fb = open_[~done], fa[~done], fb[~done]
         tried, bound = bound + 1, bound * 2
     return only_a, only_b
@@ -202,7 +210,7 @@ def differences(left: DataFrame, right: DataFrame, key: str, fields: Sequence[st
     """One row (key, diff) per difference: ``names`` for rows of one side, else the field's name."""
     every = [key, *fields]
     left, right = left.select(*every), right.select(*every)
-    rows = left.count()  # from Parquet's footers
+    rows = max(left.count(), right.count())  # from Parquet's footers
     keyed = [d.where(F.col(key).isNotNull()).withColumn("h", row_hash(every)) for d in (left, right)]
     found = cut(reconcile_hashes(keyed[0].select("h"), keyed[1].select("h"), rows))
     both = keyed[0].withColumn("side", F.lit(0).cast("tinyint")).unionAll(keyed[1].withColumn("side", F.lit(1).cast("tinyint")))

@@ -94,7 +94,18 @@ def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
-def hot_split_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", hot_keys: int = 1000) -> DataFrame:
+def skew_safe_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join on a key that may be hot in ``left``; ``right`` has one row per key.
+
+    Where adaptive execution splits skewed joins itself, a plain join is enough and costs no extra
+    pass; elsewhere hot keys are told apart first.
+    """
+    conf = left.sparkSession.conf
+    adaptive = all(conf.get(f"spark.sql.adaptive.{x}", "true") == "true" for x in ("enabled", "skewJoin.enabled"))
+    return left.join(right, on, how) if adaptive else hot_split_join(left, right, on, how)
+
+
+def hot_split_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", hot_keys: int = 1000, least: int = 100_000) -> DataFrame:
     """Join ``left`` with ``right`` (unique in ``on``) where single keys may hold a third of ``left``.
 
     Keys with over ``1/hot_keys`` of all rows of ``left`` are at most ``hot_keys`` in number, so the
@@ -103,7 +114,7 @@ def hot_split_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner
     """
     counts = left.groupBy(on).agg(F.count(F.lit(1)).alias("__n")).persist(StorageLevel.MEMORY_AND_DISK)
     total = counts.agg(F.sum("__n")).first()[0] or 0
-    floor = max(total // hot_keys, 100_000)
+    floor = max(total // hot_keys, least)
     hot = [r[0] for r in counts.where(F.col("__n") > floor).select(on).limit(hot_keys).collect() if r[0] is not None]
     counts.unpersist()
     if not hot:

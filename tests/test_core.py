@@ -312,3 +312,28 @@ def test_taxonomy_and_generated_graph(spark, rows):
     assert rows(gg) == rows(graph.tree_to_graph(generate.systems_table(spark, "orbit", 2, seed=4), NS))
     d = graph.direct_graph(spark.createDataFrame([("A", "E", "on", "B"), ("A", None, "m", None)], "subject string, cls string, property string, value string"), NS)
     assert rows(d.where("o_kind = 'literal'"), "o") == [("B",)] and d.count() == 3
+
+
+def test_joins_on_a_hot_key(spark, rows):
+    from kgloom import session
+
+    left = spark.createDataFrame([("hot", i) for i in range(300)] + [(f"k{i}", i) for i in range(50)] + [(None, 1), ("lost", 2)], "k string, x int")
+    right = spark.createDataFrame([("hot", "H")] + [(f"k{i}", str(i)) for i in range(50)], "k string, y string")
+    for how in ("inner", "left"):
+        want = rows(left.join(right, "k", how))
+        assert rows(session.hot_split_join(left, right, "k", how, hot_keys=10, least=5)) == want
+        assert rows(session.skew_safe_join(left, right, "k", how)) == want
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert rows(session.skew_safe_join(left, right, "k")) == rows(left.join(right, "k"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert session.is_small(right, 51) and not session.is_small(right, 50)
+
+
+def test_cut_forgets_the_plan_and_keeps_the_rows(spark, rows):
+    from kgloom import session
+
+    df = spark.range(100).selectExpr("id", "IF(id % 2 = 0, NULL, id) AS x", "array(id) AS a")
+    again = session.cut(df)
+    assert rows(again) == rows(df) and again.schema.names == df.schema.names and session.cut(df.limit(0)).isEmpty()

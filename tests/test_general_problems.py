@@ -136,6 +136,14 @@ def test_reconciliation_recovers_the_symmetric_difference(x, y):
     assert set(matrix[1][b].tolist()) == set(sides[1]) - set(sides[0])
 
 
+def test_copies_with_nothing_in_common(spark, rows):
+    schema = "triple_id string, s string, p string, o string"
+    a = spark.createDataFrame([(f"a{i}", "s", "p", str(i)) for i in range(2000)], schema)
+    b = spark.createDataFrame([(f"b{i}", "s", "p", str(i)) for i in range(3000)], schema)
+    got = reconcile.differences(a, b, "triple_id", ["s", "p", "o"])
+    assert rows(got.groupBy("diff").count()) == [("only_left", 2000), ("only_right", 3000)]
+
+
 def test_field_arithmetic():
     r = random.Random(1)
     xs = [r.randrange(reconcile.PRIME) for _ in range(500)] + [0, 1, reconcile.PRIME - 1]
