@@ -6,8 +6,8 @@ with every round; the loop ends when no edge joins two labels, that is when no l
 Each round is checkpointed, so lineage stays short and a lost executor costs one step.
 
 Minima are aggregated before the shuffle, so a node that holds a third of all edges arrives as one
-row per task; the joins that relabel edges are plain equi-joins against one row per node, which
-adaptive execution splits where one key is hot. Nothing is collected but two counts per round.
+row per task; the joins that relabel edges have one row per node on the other side and are split
+where a key is hot (``session.skew_safe_join``). Nothing is collected but two counts per round.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.session import cut
+from kgloom.session import cut, skew_safe_join
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -32,8 +32,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if labels is None:
             labels = parent
         else:
-            up = parent.select(F.col("node").alias("__n"), F.col("group").alias("__g"))
-            labels = cut(labels.join(up, F.col("group") == F.col("__n"), "left").select("node", F.coalesce("__g", "group").alias("group")))
+            up = parent.select(F.col("node").alias("group"), F.col("group").alias("__g"))
+            labels = cut(skew_safe_join(labels, up, "group", "left").select("node", F.coalesce("__g", "group").alias("group")))
         links = cut(_between_labels(links, parent))
     if labels is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("group"))
@@ -49,8 +49,8 @@ def _smallest_neighbours(links: DataFrame) -> DataFrame:
 def _flat(parent: DataFrame) -> DataFrame:
     """Pointer jumping: every label replaced by the label's own, until none changes."""
     while True:
-        up = parent.select(F.col("node").alias("__n"), F.col("group").alias("__g"))
-        jumped = cut(parent.join(up, F.col("group") == F.col("__n"), "left").select("node", F.coalesce("__g", "group").alias("group"), (F.col("__g") != F.col("group")).alias("moved")))
+        up = parent.select(F.col("node").alias("group"), F.col("group").alias("__g"))
+        jumped = cut(skew_safe_join(parent, up, "group", "left").select("node", F.coalesce("__g", "group").alias("group"), (F.col("__g") != F.col("group")).alias("moved")))
         done = jumped.where("moved").isEmpty()
         parent = jumped.drop("moved")
         if done:
@@ -61,7 +61,7 @@ def _between_labels(links: DataFrame, parent: DataFrame) -> DataFrame:
     """The edges between the labels of their ends, without those inside one label."""
     x = parent.select(F.col("node").alias("a"), F.col("group").alias("x"))
     y = parent.select(F.col("node").alias("b"), F.col("group").alias("y"))
-    joined = links.join(x, "a").join(y, "b").where(F.col("x") != F.col("y"))
+    joined = skew_safe_join(skew_safe_join(links, x, "a"), y, "b").where(F.col("x") != F.col("y"))
     return joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

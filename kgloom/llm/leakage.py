@@ -30,9 +30,9 @@ UNITS = tuple(sorted({n for kinds in SPELLINGS.values() for names in kinds.value
 
 
 def _bare(text: Column) -> Column:
-    """Without tags, invisible characters, apostrophes and marks of emphasis."""
-    blocks = F.regexp_replace(text, r"(?i)</?(?:b|i|u|em|strong|span|a|code|sub|sup|mark|s|small)(?:\s[^<>]*)?>", "")
-    return F.regexp_replace(F.regexp_replace(blocks, r"<[/!a-zA-Z][^<>]*>", " "), r"[\p{Cf}'’ʼ`*~]+", "")
+    """Without tags, entities, link targets, invisible characters, apostrophes and marks of emphasis."""
+    inline = F.regexp_replace(text, r"(?i)</?(?:b|i|u|em|strong|span|a|code|sub|sup|mark|s|small)(?:\s[^<>]*)?>|&(?:apos|rsquo|lsquo|shy|#39|#8217);", "")
+    return F.regexp_replace(F.regexp_replace(inline, r"<[/!a-zA-Z][^<>]*>|&(?:[a-zA-Z]{2,8}|#\d{1,6});|(?<=\])\([^()\s]*\)", " "), r"[\p{Cf}'’ʼ`*~]+", "")
 
 
 def words(text: Column) -> Column:

@@ -265,7 +265,7 @@ def test_leaks_in_disguise(spark, rows):
     w = ITEM.split()
     docs = [
         (1, "note. " + ITEM.upper() + " end"), (2, "x " + " ".join(w[3:16]).replace("-", "‑") + " y"), (3, "*" + "*  *".join(w[4:18]) + "*"), (4, "​".join(" ".join(w[2:15]))), (5, " ".join(w[:11])),
-        (6, " ".join(w[:6] + ["no"] + w[6:14])), (7, ITEM.replace("harbour, that", "har<b>bour</b>;\r\n> that")), (8, None), (9, ""), (None, ITEM), (1, "note. " + ITEM.upper() + " end"), (10, "word " * 50_000 + ITEM),
+        (6, " ".join(w[:6] + ["no"] + w[6:14])), (7, ITEM.replace("harbour, that", "har<b>bour</b>;\r\n> [that](http://x/y)&nbsp;")), (8, None), (9, ""), (None, ITEM), (1, "note. " + ITEM.upper() + " end"), (10, "word " * 50_000 + ITEM),
     ]
     d, i = _leaks(spark, docs, ((1, ITEM), (1, ITEM), (2, "short one"), (3, None), (None, ITEM)))
     assert rows(leakage.leaked(d, i)) == [(1, 1), (10, 1), (2, 1), (3, 1), (4, 1), (7, 1)] or rows(leakage.leaked(d, i)) == sorted([(x, 1) for x in (1, 2, 3, 4, 7, 10)], key=repr)
