@@ -592,7 +592,7 @@ _LINES = "l AS (SELECT id, t.title AS s FROM (SELECT id, unnest(section_path) AS
 
 @query(rf"""WITH {_LINES}, v AS (SELECT id, s, CASE WHEN s = '' OR length(s) > 80 THEN NULL WHEN regexp_matches(s, '^\d+(\.\d+)*\s+[\p{{L}}\p{{N}}_]') THEN least(3, 1 + length(regexp_extract(s, '^\d+(\.\d+)*')) - length(replace(regexp_extract(s, '^\d+(\.\d+)*'), '.', '')))
   WHEN s = upper(s) AND length(s) >= 3 AND NOT regexp_matches(s, '[.,:;?!]$') AND regexp_full_match(replace(s, ' ', ''), '\p{{L}}+') THEN 2 END AS level FROM l)
-SELECT id, level, count(*) AS n FROM v WHERE level IS NOT NULL GROUP BY 1, 2""")
+SELECT id, level::INT AS level, count(*) AS n FROM v WHERE level IS NOT NULL GROUP BY 1, 2""")
 def text_headings(spark: SparkSession, sf: str) -> DataFrame:
     titles = table(spark, sf, "chunks").select("id", "section_path").distinct().select("id", F.explode(F.col("section_path.title")).alias("line"))
     spans = table(spark, sf, "entities").where(F.col("text_span").isNotNull()).select("id", F.upper("text_span").alias("line")).distinct()
@@ -604,7 +604,7 @@ def text_headings(spark: SparkSession, sf: str) -> DataFrame:
 h AS (SELECT doc_id, line_no, length(regexp_extract(line, '^(#{{1,6}})\s+(.+?)\s*$', 1)) AS level, regexp_extract(line, '^(#{{1,6}})\s+(.+?)\s*$', 2) AS title FROM l WHERE regexp_matches(line, '^(#{{1,6}})\s+(.+?)\s*$')),
 open_ AS (SELECT a.doc_id, a.line_no, b.line_no AS place, b.title FROM h a JOIN h b ON b.doc_id = a.doc_id AND b.line_no <= a.line_no AND (b.level < a.level OR b.line_no = a.line_no)
   WHERE NOT EXISTS (SELECT 1 FROM h c WHERE c.doc_id = a.doc_id AND c.line_no > b.line_no AND c.line_no <= a.line_no AND c.level <= b.level))
-SELECT doc_id, line_no, string_agg(title, ' > ' ORDER BY place) AS path FROM open_ GROUP BY 1, 2""")
+SELECT doc_id, line_no::INT AS line_no, string_agg(title, ' > ' ORDER BY place) AS path FROM open_ GROUP BY 1, 2""")
 def heading_paths(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", F.replace(F.col("text"), F.lit("\r"), F.lit("")).alias("text"))
     return documents.heading_paths(documents.heading_lines(d, "doc_id", "text"), "doc_id").select("doc_id", "line_no", F.array_join("path", " > ").alias("path"))
@@ -741,7 +741,7 @@ def mapped_delta(spark: SparkSession, sf: str) -> DataFrame:
     return llm_functions.map_entities(table(spark, sf, "entities").distinct(), get_provider, KG)
 
 
-@query("SELECT sum(length(text) // 4) AS about FROM (SELECT DISTINCT id, text FROM chunks WHERE length(text) >= 30)")
+@query("SELECT sum(length(text) // 4)::BIGINT AS about FROM (SELECT DISTINCT id, text FROM chunks WHERE length(text) >= 30)")
 def token_usage(spark: SparkSession, sf: str) -> DataFrame:
     c = documents.eligible(table(spark, sf, "chunks").select("id", "text").distinct())
     return c.agg(F.sum(F.floor(F.length("text") / 4)).alias("about"))
