@@ -1,4 +1,4 @@
-"""Commands over files: ingest, evaluate, check, impact, diff, align, knowledge, generate."""
+"""Commands over files: ingest, review, evaluate, rules, impact, conflicts, reconstruction, diff, align, knowledge, generate."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import functions as F
 
 from kgloom.operators import align, documents, evaluate, generate, graph, rules
+from kgloom.plans import pipelines
 from kgloom.providers import functions as llm_functions
 from kgloom.providers import get_provider, list_providers
 from kgloom.session import build_session
@@ -31,6 +32,9 @@ def _parser() -> argparse.ArgumentParser:
     add("diff", "triples added and removed", ("--old", need), ("--new", need), ("--save", opt))
     add("align", "similar entities of an entity table", ("--entities", need), ("--save", opt))
     add("apply-knowledge", "add entries of a YAML file to a graph", ("--yaml", need), ("--owl", need), ("--save", need), ("--dry-run", {"action": "store_true"}))
+    add("review", "a delta with a reviewer's decisions (CSV: ord,id,action,new_object,note)", ("--delta", need), ("--reviews", need), ("--save", need), ("--auto-approve", {"action": "store_true"}))
+    add("detect-conflicts", "individuals that break proposed rules (JSON lines), scored against a rule file", ("--owl", need), ("--namespace", need), ("--proposed", need), ("--rules", opt))
+    add("reconstruct", "a graph rebuilt from documents by the pipeline and in one step", ("--owl", need), ("--docs", need), ("--namespace", need), provider)
     add("generate", "a graph of generated systems", ("--domain", {"required": True, "choices": generate.ALL_DOMAINS}), ("--count", {"type": int, "default": 1}), ("--namespace", need), ("--save", need), ("--seed", {"type": int, "default": 0}))
     return p
 
@@ -81,6 +85,23 @@ def main(argv: list[str] | None = None) -> int:
         print(triples.count(), "->", merged.count())
         if not a.dry_run:
             rdf.save_graph(merged, a.save, "nt")
+    elif a.command == "review":
+        reviews = spark.read.csv(a.reviews, header=True, schema="ord int, id string, action string, new_object string, note string")
+        done = pipelines.review(spark.read.parquet(a.delta), reviews)
+        (pipelines.approve(done) if a.auto_approve else done).write.mode("overwrite").parquet(a.save)
+        spark.read.parquet(a.save).groupBy("status").count().orderBy("status").show()
+    elif a.command == "detect-conflicts":
+        proposed = spark.read.schema("rule_id string, subject string, object string, attribute string, operator string, value string").json(a.proposed)
+        found = pipelines.detect_conflicts(rdf.load_graph(spark, a.owl), a.namespace, proposed)
+        found.show(1000, truncate=False)
+        if a.rules:
+            scored = pipelines.score_conflicts(found, files.load_rules(spark, a.rules))
+            scored["scores"].show(1000, truncate=False)
+            scored["prf"].show(truncate=False)
+    elif a.command == "reconstruct":
+        got = pipelines.reconstruct(rdf.load_graph(spark, a.owl), files.load_documents(spark, a.docs), lambda: get_provider(a.provider), a.namespace)
+        got["arms"].show(truncate=False)
+        got["winner"].show()
     elif a.command == "generate":
         rdf.save_graph(graph.tree_to_graph(generate.systems_table(spark, a.domain, a.count, a.seed), a.namespace), a.save, "nt")
     return 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyspark.sql.functions as F
+
 from kgloom import cli
 
 
@@ -28,3 +30,24 @@ def test_ingest(spark, tmp_path, capsys):
     assert cli.main(["ingest", "--input", str(tmp_path / "in"), "--output", str(tmp_path / "out"), "--namespace", "urn:k#"]) == 0
     out = capsys.readouterr().out
     assert "chunks 1" in out and "entities 0" not in out
+
+
+def test_review_conflicts_and_reconstruction(spark, tmp_path, capsys):
+    ns = "urn:k#"
+    from kgloom.plans import pipelines
+
+    pipelines.sample_delta(spark, ns).withColumn("status", F.lit("proposed")).write.parquet(str(tmp_path / "d"))
+    ident = spark.read.parquet(str(tmp_path / "d")).first()["id"]
+    (tmp_path / "r.csv").write_text(f"ord,id,action,new_object,note\n1,{ident},reject,,no\n")
+    assert cli.main(["review", "--delta", str(tmp_path / "d"), "--reviews", str(tmp_path / "r.csv"), "--save", str(tmp_path / "e"), "--auto-approve"]) == 0
+    assert "rejected" in capsys.readouterr().out
+    assert cli.main(["generate", "--domain", "orbit", "--namespace", ns, "--save", str(tmp_path / "g")]) == 0
+    (tmp_path / "p.json").write_text('{"rule_id": "r", "subject": "SmallSatellite_1", "attribute": "massKg", "operator": ">", "value": "-1"}\n')
+    (tmp_path / "r.yaml").write_text("rules:\n- {id: r1, name: n, subject_type: SmallSatellite, when: {attribute: massKg, operator: '>', value: 0}, expected_violated: true}\n")
+    owl = str(tmp_path / "g" / "*.txt")
+    assert cli.main(["detect-conflicts", "--owl", owl, "--namespace", ns, "--proposed", str(tmp_path / "p.json"), "--rules", str(tmp_path / "r.yaml")]) == 0
+    assert "massKg_>_threshold" in capsys.readouterr().out
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.md").write_text("# Pumps\nThe Main Pump has mass of 3.5 kg here and now.\n")
+    assert cli.main(["reconstruct", "--owl", owl, "--docs", str(tmp_path / "docs"), "--namespace", ns]) == 0
+    assert "pipeline" in capsys.readouterr().out
