@@ -104,26 +104,29 @@ def ingest(raw: DataFrame, factory: Factory, namespace: str, classes: list[str]
 
 
 def check_document_rules(rule_table: DataFrame, texts: DataFrame, factory: Factory) -> DataFrame:
-    """rule_id, subject, object, value, violated by what documents state, the document as object."""
+    """rule_id, subject, object, value, violated, doc_id, quote: a verdict per statement of each document."""
     blank = rule_table.where(F.coalesce(F.trim("plain_english"), F.lit("")) == "")
     if not blank.isEmpty():
         raise ValueError("a rule without plain_english cannot be checked against documents")
     stated = llm_functions.check_documents(rule_table, texts, factory)
     j = stated.join(small_side(rule_table.select("rule_id", "operator", F.col("value").alias("threshold"))), "rule_id")
-    return j.select("rule_id", F.lit(None).cast("string").alias("subject"), F.col("doc_id").alias("object"), "value", F.coalesce(compare(F.col("value"), F.col("operator"), F.col("threshold")), F.lit(False)).alias("violated"))
+    return j.select("rule_id", "subject", "object", "value", F.coalesce(compare(F.col("value"), F.col("operator"), F.col("threshold")), F.lit(False)).alias("violated"), F.col("doc_id").cast("string").alias("doc_id"), "quote")
 
 
 def check_rules(rule_table: DataFrame, triples: DataFrame | None = None, texts: DataFrame | None = None, factory: Factory | None = None) -> DataFrame:
-    """arm, rule_id, subject, object, value, violated of the ontology arm, the document arm or both."""
+    """arm, rule_id, subject, object, value, violated, doc_id, quote of the ontology arm, the document arm or both.
+
+    Verdicts of documents name their document and the sentence; both are null in the ontology arm.
+    """
     arms = []
     if triples is not None:
-        arms.append(rules.check_pairs(rule_table, rules.typed_subjects(triples), rules.typed_facts(triples)).withColumn("arm", F.lit("ontology")))
+        arms.append(rules.check_pairs(rule_table, rules.typed_subjects(triples), rules.typed_facts(triples)).withColumns({"arm": F.lit("ontology"), "doc_id": F.lit(None).cast("string"), "quote": F.lit(None).cast("string")}))
     if texts is not None and factory is not None:
         arms.append(check_document_rules(rule_table, texts, factory).withColumn("arm", F.lit("document")))
     if not arms:
         raise ValueError("a graph, or documents and a provider, are needed")
     out = arms[0] if len(arms) == 1 else arms[0].unionByName(arms[1])
-    return out.select("arm", "rule_id", "subject", "object", "value", "violated")
+    return out.select("arm", "rule_id", "subject", "object", "value", "violated", "doc_id", "quote")
 
 
 def analyze_impact(rule_table: DataFrame, triples: DataFrame, changes: DataFrame, truth: DataFrame, texts: DataFrame | None = None, factory: Factory | None = None) -> dict[str, DataFrame]:

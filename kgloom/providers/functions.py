@@ -22,13 +22,14 @@ from kgloom.providers.base import Provider, Request
 
 ENTITIES = "array<struct<text_span:string,entity_type:string,confidence:double,attributes:array<struct<name:string,raw_text:string,value:string,unit:string>>,relationships:array<struct<predicate:string,target:string,raw_text:string>>>>"
 MAPPED = "struct<subject:string,cls:string,description:string,triples:array<struct<predicate:string,object:string,datatype:string>>>"
+STATEMENTS = "array<struct<subject:string,object:string,value:string,quote:string>>"
 SYSTEM = {
     "extract": "List the things that the text names, with their measured attributes and relations, as JSON.",
     "map": "Give the subject name, class, description and statements for this thing, as JSON.",
     "same_entity": "Say whether the two names mean the same thing, as JSON.",
     "synthesize": "Write paragraphs that state every fact, each with its anchor, as JSON.",
     "plain_english": "State the rule in everyday words without its numbers, as JSON.",
-    "check_document": "Give the value that the text states for this attribute, with the sentence, as JSON.",
+    "check_document": "List every value that the text states for this attribute, with the names of the subject and, if it has a type, the object, and the sentence, as JSON.",
     "extract_direct": "List all statements of the text as subject, class, property and value, as JSON.",
     "discover_rules": "Propose rules that the individuals should obey, as JSON.",
 }
@@ -111,10 +112,17 @@ def plain_english(rules: DataFrame, factory: Callable[[], Provider]) -> DataFram
 
 
 def check_documents(rules: DataFrame, documents: DataFrame, factory: Callable[[], Provider]) -> DataFrame:
-    """doc_id, rule_id, value, quote: what each document states for each rule's attribute."""
-    every = documents.select("doc_id", "text").crossJoin(F.broadcast(rules.select("rule_id", "attribute").limit(100_000)))
-    got = raise_errors(ask(every, "check_document", {"text": "text", "attribute": "attribute"}, factory))
-    return got.select("doc_id", "rule_id", F.get_json_object("answer", "$.value").alias("value"), F.get_json_object("answer", "$.quote").alias("quote"))
+    """doc_id, rule_id, subject, object, value, quote: each statement of a document on a rule's attribute.
+
+    The attribute is the object's, or the subject's for a rule without object type. A document that
+    states nothing on a rule has one row of nulls for it.
+    """
+    asked = rules.select("rule_id", "subject_type", "object_type", "attribute")
+    every = documents.select("doc_id", "text").crossJoin(F.broadcast(asked.limit(100_000)))
+    got = raise_errors(ask(every, "check_document", {c: c for c in ("text", "subject_type", "object_type", "attribute")}, factory))
+    stated = F.from_json(F.get_json_object("answer", "$.statements"), STATEMENTS)
+    whole = F.coalesce(stated, F.raise_error(F.lit("an answer without statements")).cast(STATEMENTS))
+    return got.select("doc_id", "rule_id", F.explode_outer(whole).alias("x")).select("doc_id", "rule_id", "x.*")
 
 
 def extract_direct(documents: DataFrame, factory: Callable[[], Provider], classes: list[str] | None = None) -> DataFrame:

@@ -12,6 +12,76 @@ from kgloom.providers.base import ProviderError, Request, Response, Usage
 _QUANTITY = re.compile(r"(?P<name>[A-Za-z][A-Za-z ]{1,40}?)\s*(?:is|of|:|=)\s*(?P<value>-?\d+(?:[.,]\d+)?)\s*(?P<unit>[A-Za-z°%/²^-]{1,12})?")
 _NAME = re.compile(r"\b(?:[A-Z][\w-]*\d[\w-]*|[A-Z][a-z]+(?:[A-Z][a-z]+)+|[A-Z][a-z]{2,}(?: [A-Z][a-z]{2,})+)\b")
 
+_VALUE = re.compile(r"(?<![\w.-])(-?(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:[.,]\d+)?)(?:[eE][+-]?\d+)?)(?!(?:st|nd|rd|th)\b)(?:\s?-\s?(\d+(?:\.\d+)?)(?![-\d]))?")
+_THING = re.compile(r"(?<!\w)[A-Z][\w-]*(?:\s+[A-Z][\w-]*)*(?:\s+\d+(?=\s+(?:has|have|had|is|are|was|were|weighs|with|whose)\b))?")
+_OPENERS = frozenset("The A An Its It This That These Those Each Every All Both In At On For Of With If When While However Its Total Maximum Minimum".split())
+#: Words that may stand between two values of one attribute.
+_LINKS = frozenset("a an the and or but while whereas that those one of for is are was were has have had to at with it its weighs weigh measures measure reaches reach shows show gives give each about approximately nearly only just up than more less over under between from respectively by in on as well also both".split())
+
+
+def statements(text: str, attribute: str) -> list[dict[str, str | None]]:
+    """thing, other, value, quote for every value that a sentence gives for the attribute.
+
+    A sentence speaks of the attribute if it holds all its words. Its values are the number after each
+    mention, the number right before one ("3 kg mass"), and those that follow a value with nothing but
+    names, units and linking words between; both ends of a range; without any of these, every number.
+    Digits of names are no values. ``thing`` is named right after the mention or last before the value;
+    as many names as values in a row are paired in order. ``other`` is the first other name before.
+    What kind of thing a name is, is not known here, so a rule's types do not filter the statements.
+    """
+    words = re.sub(r"(?<=[a-z])(?=[A-Z])|_", " ", attribute).lower().split()
+    mention = re.compile("|".join([r"[\s_]*".join(map(re.escape, words)), *[rf"(?<![a-z]){re.escape(w)}(?:e?s)?(?![a-z])" for w in words if w.isalpha()]]), re.I) if words else re.compile(r"\A")
+    out: list[dict[str, str | None]] = []
+    for sentence in re.split(r"(?<=[.!?])\s+|\n+", text):
+        lower = re.sub(r"(?<=[a-z])(?=[A-Z])|_", " ", sentence).lower()
+        if not all(w in lower for w in words):
+            continue
+        plain = re.sub("[\u2212\u2013]", "-", sentence)
+        mentions = [m.span() for m in mention.finditer(plain)]
+        blank = mention.sub(lambda m: "\0" * len(m[0]), plain)
+        names = []
+        for m in _THING.finditer(blank):
+            kept = re.sub(rf"^(?:(?:{'|'.join(_OPENERS)})(?:\s+|$))+", "", m[0])
+            if kept and not re.search(r"(?<![\w-])-?\d[\d.,]*\s*$", blank[: m.start()]):  # else the unit of a number
+                names.append((m.end() - len(kept), m.end(), sentence[m.end() - len(kept) : m.end()]))
+        numbers = [m for m in _VALUE.finditer(blank) if not any(a <= m.start() < b for a, b, _ in names)]
+        taken: list[int] = []
+        for i, m in enumerate(numbers):
+            since = numbers[i - 1].end() if i else 0
+            after = any(since <= a < m.start() for a, _ in mentions)
+            before = any(re.fullmatch(r"\s*(?:[^\W\d][\w/%\u00b0\u00b2^]*\s+)?", blank[m.end() : a]) for a, _ in mentions if a >= m.end())
+            gap = blank[since : m.start()]
+            for a, b, _ in names:
+                if since <= a and b <= m.start():
+                    gap = gap.replace(blank[a:b], " ")
+            gap = re.sub(r"^\s*[^\W\d][\w/%\u00b0\u00b2^]*", " ", gap) if not re.match(rf"\s*(?:{'|'.join(_LINKS)})\b", gap) else gap
+            carried = bool(taken) and taken[-1] == i - 1 and all(w.lower() in _LINKS for w in re.findall(r"[^\W\d_]+", gap))
+            if after or before or carried:
+                taken.append(i)
+        taken = taken or list(range(len(numbers)))
+        at = 0
+        while at < len(taken):
+            # A run: values without a name or mention between them.
+            end = at + 1
+            marks = [a for a, *_ in names] + [a for a, _ in mentions]
+            while end < len(taken) and not any(numbers[taken[end - 1]].end() <= a < numbers[taken[end]].start() for a in marks):
+                end += 1
+            run, first = [numbers[i] for i in taken[at:end]], numbers[taken[at]].start()
+            since = numbers[taken[at - 1]].end() if at else 0
+            new = [n for n in names if since <= n[0] < first]
+            known = [n for n in names if n[0] < first]
+            own = [n for n in known for _, b in mentions if n[0] >= max(b, since) and re.fullmatch(r"\s+(?:of|for)\s+(?:the\s+|The\s+)?", blank[b : n[0]])]
+            paired = len(run) > 1 and len(new) == len(run)
+            for k, m in enumerate(run):
+                thing = new[k][2] if paired else own[-1][2] if own else known[-1][2] if known else names[0][2] if len(names) == 1 else None
+                other = None if paired else next((n[2] for n in known if n[2] != thing), None)
+                for v in m.groups():
+                    if v is not None:
+                        v = v.replace(",", "") if re.fullmatch(r"-?\d{1,3}(?:,\d{3})+(?:\.\d+)?(?:[eE].*)?", v) else v.replace(",", ".")
+                        out.append({"thing": thing, "other": other, "value": v, "quote": sentence})
+            at = end
+    return out
+
 
 class ReplayProvider:
     """Answers from a table of recorded responses by request key; an unknown request is an error."""
@@ -67,12 +137,8 @@ class RuleProvider:
         return {"text": f"Check that the {p['attribute']} of each {about} stays within what is allowed."}
 
     def _check_document(self, p: dict[str, Any]) -> dict[str, Any]:
-        words = re.sub(r"(?<=[a-z])(?=[A-Z])|_", " ", p["attribute"]).lower().split()
-        for sentence in re.split(r"(?<=[.!?])\s+|\n+", p["text"]):
-            m = re.search(r"-?\d+(?:\.\d+)?", sentence)
-            if m and all(w in sentence.lower() for w in words):
-                return {"value": m[0], "quote": sentence}
-        return {"value": None, "quote": None}
+        paired = p.get("object_type") is not None
+        return {"statements": [{"subject": x["other"] if paired else x["thing"], "object": x["thing"] if paired else None, "value": x["value"], "quote": x["quote"]} for x in statements(p["text"], p["attribute"])]}
 
     def _extract_direct(self, p: dict[str, Any]) -> dict[str, Any]:
         entities = self._extract({"text": p["text"], "classes": p.get("classes", [])})["entities"]
