@@ -19,6 +19,7 @@ from kgloom.functions.lexical import RDF_TYPE, RDFS
 from kgloom.functions.text import expand_datatype, make_iri, short_hash
 from kgloom.operators.documents import eligible
 from kgloom.providers.base import Provider, Request
+from kgloom.session import small_side
 
 ENTITIES = "array<struct<text_span:string,entity_type:string,confidence:double,attributes:array<struct<name:string,raw_text:string,value:string,unit:string>>,relationships:array<struct<predicate:string,target:string,raw_text:string>>>>"
 MAPPED = "struct<subject:string,cls:string,description:string,triples:array<struct<predicate:string,object:string,datatype:string>>>"
@@ -118,7 +119,7 @@ def check_documents(rules: DataFrame, documents: DataFrame, factory: Callable[[]
     states nothing on a rule has one row of nulls for it.
     """
     asked = rules.select("rule_id", "subject_type", "object_type", "attribute")
-    every = documents.select("doc_id", "text").crossJoin(F.broadcast(asked.limit(100_000)))
+    every = documents.select("doc_id", "text").join(small_side(asked), F.lit(True))
     got = raise_errors(ask(every, "check_document", {c: c for c in ("text", "subject_type", "object_type", "attribute")}, factory))
     stated = F.from_json(F.get_json_object("answer", "$.statements"), STATEMENTS)
     whole = F.coalesce(stated, F.raise_error(F.lit("an answer without statements")).cast(STATEMENTS))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from kgloom.plans import pipelines
+from kgloom.providers import functions as pf
 from kgloom.providers.offline import statements
 from kgloom.providers.registry import get_provider
 
@@ -43,3 +44,11 @@ def test_every_statement_of_a_document_has_a_verdict(spark, rows):
 )
 def test_statements_of_sentences(text, want):
     assert _stated(text) == want
+
+
+def test_no_rule_is_dropped_however_many(spark):
+    n = 100_001
+    r = spark.range(n).selectExpr("concat('r', id) AS rule_id", "'Pump' AS subject_type", "CAST(NULL AS STRING) AS object_type", "'mass' AS attribute")
+    docs = spark.createDataFrame([("d", "The mass is 3.5 kg.")], "doc_id string, text string")
+    got = pf.check_documents(r, docs, get_provider)
+    assert got.where("value = '3.5'").select("rule_id").distinct().count() == n
