@@ -7,15 +7,17 @@ rational function whose numerator has the hashes of rows on the first side only
 denominator those on the second side only. It is interpolated under a bound on the number of
 differences that starts at ``FIRST_BOUND`` and is doubled for the buckets that two further points
 do not confirm, up to the bound at which the evaluations would be half as many as the bucket's hashes:
-those of such a bucket are compared themselves. The rows of the recovered hashes are then fetched and compared field by field.
+those of such a bucket are compared themselves. All rows of the keys that the recovered hashes belong
+to are then fetched and compared field by field.
 
 Buckets are cut from the row hash, not from the key, so no key, however frequent, fills one; equal
-rows are merged before the shuffle. Only hashes are shuffled for the search, and only rows once,
-to fetch the differing ones.
+rows are merged before the shuffle. Only hashes of rows and keys are shuffled for the search, then keys and
+hashes to find the differing keys, and rows once at most, to fetch those of them.
 
 Cases: equal rows count once; a null field equals a null field; a row without key is the same row as
-one with equal fields on the other side and is no case itself; of several differing versions of one
-key on a side the smallest counts; empty tables and extra columns are allowed.
+one with equal fields on the other side and is no case itself; of several versions of a key each is
+compared with each of the other side's, one row per pair and differing field, and a key that the
+other side lacks has one row per version; empty tables and extra columns are allowed.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.session import cut
+from kgloom.session import cut, small_side
 
 PRIME = (1 << 61) - 1
 #: Elements lie below this, evaluation points at or above it.
@@ -214,13 +216,21 @@ def differences(left: DataFrame, right: DataFrame, key: str, fields: Sequence[st
     keyed = [d.where(F.col(key).isNotNull()).withColumn("h", row_hash(every)) for d in (left, right)]
     found = cut(reconcile_hashes(keyed[0].select("h"), keyed[1].select("h"), rows))
     both = keyed[0].withColumn("side", F.lit(0).cast("tinyint")).unionAll(keyed[1].withColumn("side", F.lit(1).cast("tinyint")))
-    fetched = both.join(found, ["side", "h"], "left_semi")
+    keys = both.select(key, "side", "h").join(found, ["side", "h"], "left_semi").select(key)
+    # Equal sets of several versions have no hash on one side only; one side's counts find them.
+    k = F.xxhash64(key).alias("k")
+    several = cut(keyed[0].select(k, "h").groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("k"))
+    if not several.isEmpty():
+        keys = keys.unionAll(left.select(key, k).join(small_side(several), "k", "left_semi").select(key))
+    keys = cut(keys.distinct())
+    # All versions of a differing key, those equal on both sides too.
+    versions = cut(both.join(small_side(keys), key, "left_semi").select("side", *every).distinct())
     version = F.struct(*fields)
-    one = fetched.groupBy(key).agg(F.min(F.when(F.col("side") == 0, version)).alias("x"), F.min(F.when(F.col("side") == 1, version)).alias("y"))
+    x, y = (versions.where(F.col("side") == i).select(key, version.alias(v)) for i, v in ((0, "x"), (1, "y")))
     # Rows without key stand for a row with equal fields on the other side.
-    keyless = left.where(F.col(key).isNull()).select(F.lit(1).alias("lone"), version.alias("v")).unionAll(right.where(F.col(key).isNull()).select(F.lit(0).alias("lone"), version.alias("v"))).distinct()
-    lone = F.when(F.col("y").isNull(), 0).when(F.col("x").isNull(), 1)
-    rows_ = one.select(key, "x", "y", lone.alias("lone"), F.when(lone == 0, F.col("x")).when(lone == 1, F.col("y")).alias("v"))
-    unmatched = rows_.join(keyless, (rows_["lone"] == keyless["lone"]) & rows_["v"].eqNullSafe(keyless["v"]), "left_anti")
+    keyless = left.where(F.col(key).isNull()).select(F.lit(0).alias("side"), version.alias("v")).unionAll(right.where(F.col(key).isNull()).select(F.lit(1).alias("side"), version.alias("v"))).distinct()
+    lone = x.join(y.select(key).distinct(), key, "left_anti").select(key, F.lit(1).alias("lone"), F.col("x").alias("v")).unionAll(y.join(x.select(key).distinct(), key, "left_anti").select(key, F.lit(0).alias("lone"), F.col("y").alias("v")))
+    unmatched = lone.join(keyless, (lone["lone"] == keyless["side"]) & lone["v"].eqNullSafe(keyless["v"]), "left_anti")
     changed = [F.when(~F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")), F.lit(c)) for c in fields]
-    return unmatched.select(key, F.explode(F.when(F.col("lone") == 0, F.array(F.lit(names[0]))).when(F.col("lone") == 1, F.array(F.lit(names[1]))).otherwise(F.array_compact(F.array(*changed)))).alias("diff"))
+    fields_ = x.join(y, key).select(key, F.explode(F.array_compact(F.array(*changed))).alias("diff"))
+    return unmatched.select(key, F.when(F.col("lone") == 1, F.lit(names[0])).otherwise(F.lit(names[1])).alias("diff")).unionAll(fields_)
