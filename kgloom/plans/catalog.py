@@ -353,7 +353,7 @@ def rules_sum(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_FACTS} SELECT p.rule_id, p.object, regexp_extract(coalesce(p.object, p.subject), '[^#/]*$') || ' · ' || attribute || ' = ' || p.value || coalesce(' ' || unit, '') AS source_ref
 FROM pairs p JOIN rules USING (rule_id) WHERE violated AND p.rule_id <> 'r2'""")
 def rule_source_refs(spark: SparkSession, sf: str) -> DataFrame:
-    v = rules_pairs(spark, sf).where(F.col("violated") & (F.col("rule_id") != "r2"))
+    v = rules_pairs(spark, sf).where("violated")
     return rules.source_refs(v, rule_table(spark)).select("rule_id", "object", "source_ref")
 
 
@@ -634,6 +634,18 @@ def markdown_documents(spark: SparkSession, sf: str) -> DataFrame:
     return _raw(spark, sf).where(F.col("source_format") == "md").select("source_path", "source_sha256", "markdown")
 
 
+@query(rf"""WITH d AS (SELECT '/data/' || doc_id || CASE WHEN source_format = 'md' THEN '.md' ELSE '.txt' END AS source_path, coalesce(source_format = 'md', FALSE) AS md, sha256(text) AS source_sha256, text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT source_path, unnest(string_split(regexp_replace(text, '\n\z', ''), chr(10))) AS x, generate_subscripts(string_split(regexp_replace(text, '\n\z', ''), chr(10)), 1) AS i FROM d WHERE NOT md),
+t AS (SELECT source_path, i, x, regexp_replace(x, '^[\s\x{{85}}\p{{Z}}]+|[\s\x{{85}}\p{{Z}}]+$', '', 'g') AS s FROM l),
+v AS (SELECT source_path, i, x, s, CASE WHEN s = '' OR length(s) > 80 THEN NULL WHEN regexp_matches(s, '^\d+(\.\d+)*\s+[\p{{L}}\p{{N}}_]') THEN least(3, 1 + length(regexp_extract(s, '^\d+(\.\d+)*')) - length(replace(regexp_extract(s, '^\d+(\.\d+)*'), '.', '')))
+  WHEN s = upper(s) AND length(s) >= 3 AND NOT regexp_matches(s, '[.,:;?!]$') AND regexp_full_match(replace(s, ' ', ''), '\p{{L}}+') THEN 2 END AS n FROM t),
+b AS (SELECT source_path, string_agg(CASE WHEN n IS NULL THEN x ELSE repeat('#', n::BIGINT) || ' ' || s END, chr(10) ORDER BY i) AS body FROM v GROUP BY 1)
+SELECT source_path, source_sha256, CASE WHEN md THEN regexp_replace(regexp_replace(text, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10) ELSE body END AS markdown FROM d LEFT JOIN b USING (source_path)""")
+def converted_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """All texts of whatever format; markdown_documents has those that are markdown already."""
+    return _raw(spark, sf).select("source_path", "source_sha256", "markdown")
+
+
 @query("SELECT id, artifact_id, chunk_ix FROM chunks WHERE length(text) >= 30")
 def chunk_eligible(spark: SparkSession, sf: str) -> DataFrame:
     return documents.eligible(table(spark, sf, "chunks")).select("id", "artifact_id", "chunk_ix")
