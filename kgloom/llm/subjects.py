@@ -2,8 +2,9 @@
 
 Labels exist for some documents only, as a set per document, while a document is about the subjects
 of its single sentences. So the labels are weak for sentences: a sentence of a labelled document
-belongs to one of the document's subjects or to none, and so does a heading, the section metadata
-of the sentences under it. One linear classifier per subject against the rest is trained on hashed
+belongs to one of the document's subjects or to none. The headings of a labelled document are further
+training sentences with its labels; a heading labels no sentence under it, and the headings of documents
+without labels are not used. One linear classifier per subject against the rest is trained on hashed
 word n-grams, first with all inherited labels, then again without those that it rejects itself.
 The threshold of each is calibrated on labelled documents held out from training, for the rule that
 is asked for: a document has a subject that at least ``MIN_SENTENCES`` of its sentences have.
@@ -42,8 +43,8 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def sentences(text: str) -> tuple[list[str], list[str]]:
-    """The sentences of a text and its headings. A line that ends no sentence is a heading if it is
-    marked as one or stands alone between others; page clutter is neither."""
+    """The sentences of a text and its headings. Lines marked with ``#`` are headings; an unmarked
+    line, even one that stands alone, is running text; page clutter is neither."""
     found: list[str] = []
     heads: list[str] = []
     run: list[str] = []
