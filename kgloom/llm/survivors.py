@@ -1,7 +1,8 @@
 """The best representative of each duplicate group, chosen field by field.
 
-Records are ranked within their group by completeness, trust and recency with a deterministic
-tie-break, and the top record is kept. The rank is a window ordering filtered to its first row, of
+Records are ranked within their group by given orders with a deterministic tie-break, and the top
+record is kept. :func:`surviving_mentions` ranks the entity by recency and the surface by trust and
+recency; :func:`completeness` is an order for whole records that no query uses. The rank is a window ordering filtered to its first row, of
 which Spark keeps only the first row per group already before the shuffle; a group that holds a
 third of all records therefore arrives as one row per task.
 """
