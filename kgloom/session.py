@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -33,22 +34,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a private temporary folder is made and used.
+    It is what the cluster names in ``spark.checkpoint.dir``, else the folder set by
+    ``setCheckpointDir``. Only a local master, as in tests, may do without: a private temporary
+    folder is made and used there. On a cluster a folder of one machine would lose what the others
+    write, so that is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
-    own = getattr(context, "_kgloom_dir", None)
-    if own is None:
-        own = tempfile.mkdtemp(prefix="kgloom-")
-        context._kgloom_dir = own
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(own)
-    return own
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="kgloom-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -81,7 +80,20 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = (weakref.ref(out, lambda _, key=id(out): _WRITTEN.pop(key, None)), path)
+    return out
+
+
+_WRITTEN: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def drop(*frames: DataFrame | None) -> None:
+    """Delete the tables of frames made by :func:`cut` that nothing will read any more; others are left alone."""
+    for df in frames:
+        known = _WRITTEN.pop(id(df), None) if df is not None else None
+        if known is not None and known[0]() is df:
+            _remove(df.sparkSession, known[1])
 
 
 def is_small(df: DataFrame, max_rows: int) -> bool:
