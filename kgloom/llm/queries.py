@@ -17,6 +17,11 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return names.variant_pairs(table(spark, sf, "align_candidates"))
 
 
+def p1_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text with the thing that it names: as p1_found, in one row per text."""
+    return names.names(table(spark, sf, "align_candidates"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.chunk_boundaries(table(spark, sf, "chunks"))
 
@@ -128,7 +133,7 @@ SELECT DISTINCT dx.k AS doc_id, ix.k AS item_id FROM dx JOIN ix USING (x)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p4_found, p4_pieces, p5_found, p7_found, p8_containers, p9_found, p9_templates, p10_found, p10_composition)}
+    return {f.__name__: f for f in (p1_found, p1_names, p4_found, p4_pieces, p5_found, p7_found, p8_containers, p9_found, p9_templates, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
