@@ -88,6 +88,14 @@ def cut(df: DataFrame) -> DataFrame:
 _WRITTEN: dict[int, tuple[weakref.ref, str]] = {}
 
 
+def rename_cut(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``new``, a view of the written table ``old``, as its owner in :func:`drop`."""
+    known = _WRITTEN.pop(id(old), None)
+    if known is not None:
+        _WRITTEN[id(new)] = (weakref.ref(new, lambda _, key=id(new): _WRITTEN.pop(key, None)), known[1])
+    return new
+
+
 def drop(*frames: DataFrame | None) -> None:
     """Delete the tables of frames made by :func:`cut` that nothing will read any more; others are left alone."""
     for df in frames:
