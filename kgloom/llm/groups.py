@@ -3,7 +3,9 @@
 Every round propagates the minimum label across all edges, flattens the resulting forest by
 pointer jumping, and replaces the edges by those between different labels. What is left shrinks
 with every round; the loop ends when no edge joins two labels, that is when no label can change.
-Each round is checkpointed, so lineage stays short and a lost executor costs one step.
+Each step is cut by a table written to the shared folder (``session.cut``; not ``checkpoint()``, whose
+plan keeps the constraints of all rounds), so lineage stays short and a lost executor costs one step;
+a table is dropped once nothing reads it any more.
 
 Minima are aggregated before the shuffle, so a node that holds a third of all edges arrives as one
 row per task; the joins that relabel edges have one row per node on the other side and are split
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.session import cut, skew_safe_join
+from kgloom.session import cut, drop, rename_cut, skew_safe_join
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -30,11 +32,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while not links.isEmpty():
         parent = _flat(cut(_smallest_neighbours(links)))
         if labels is None:
-            labels = parent
+            relabelled = parent
         else:
             up = parent.select(F.col("node").alias("group"), F.col("group").alias("__g"))
-            labels = cut(skew_safe_join(labels, up, "group", "left").select("node", F.coalesce("__g", "group").alias("group")))
-        links = cut(_between_labels(links, parent))
+            relabelled = cut(skew_safe_join(labels, up, "group", "left").select("node", F.coalesce("__g", "group").alias("group")))
+        shorter = cut(_between_labels(links, parent))
+        drop(links, labels, None if parent is relabelled else parent)
+        labels, links = relabelled, shorter
     if labels is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("group"))
     return labels
@@ -51,10 +55,11 @@ def _flat(parent: DataFrame) -> DataFrame:
     while True:
         up = parent.select(F.col("node").alias("group"), F.col("group").alias("__g"))
         jumped = cut(skew_safe_join(parent, up, "group", "left").select("node", F.coalesce("__g", "group").alias("group"), (F.col("__g") != F.col("group")).alias("moved")))
-        done = jumped.where("moved").isEmpty()
-        parent = jumped.drop("moved")
-        if done:
+        if jumped.where("moved").isEmpty():
+            drop(jumped)
             return parent
+        drop(parent)
+        parent = rename_cut(jumped, jumped.drop("moved"))
 
 
 def _between_labels(links: DataFrame, parent: DataFrame) -> DataFrame:

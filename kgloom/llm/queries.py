@@ -39,6 +39,11 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return survivors.surviving_mentions(table(spark, sf, "align_decisions"), table(spark, sf, "align_judgments"), table(spark, sf, "align_candidates"))
 
 
+def p7_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The best whole decision of each group, the most complete first."""
+    return survivors.surviving_records(table(spark, sf, "align_decisions"), table(spark, sf, "align_judgments"), table(spark, sf, "align_candidates"))
+
+
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     """Every document in a container of 2,048 tokens, with its length."""
     return packing.pack(packing.token_counts(table(spark, sf, "documents")))
@@ -121,6 +126,17 @@ SELECT group_id, canonical AS canonical_entity_id, canonical_surface, coalesce(n
 """
 
 
+P7_RECORDS_SQL = rf"""
+WITH RECURSIVE {_GROUPS},
+placed AS (SELECT DISTINCT a.*, f.group_id FROM approved a JOIN star s ON s.key = a.key AND s.id = s.hub JOIN found f ON f.entity_id = s.hub),
+merged AS (SELECT candidate_id AS key, len(list_filter(coalesce(merged_entity_ids, []), lambda x: x IS NOT NULL)) AS n_merged FROM last_ WHERE status = 'approved'),
+named AS (SELECT p.*, n_merged, len(list_distinct(list_filter(list_transform(coalesce(aliases, []), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x IS NOT NULL AND x <> '')))::INT AS n_aliases FROM placed p JOIN merged USING (key)),
+judged AS (SELECT candidate_id AS key, min(CASE judged_by WHEN 'reviewer' THEN 0 WHEN 'rule' THEN 1 WHEN 'llm' THEN 2 ELSE 3 END) AS t FROM align_judgments WHERE same_entity GROUP BY 1),
+ranked AS (SELECT n.*, t, ((canonical IS NOT NULL)::INT + (n_merged > 0)::INT + (n_aliases > 0)::INT)::INT AS n_filled FROM named n LEFT JOIN judged USING (key))
+SELECT group_id, key AS candidate_id, canonical AS canonical_entity_id, n_aliases, n_filled FROM ranked
+QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY n_filled DESC, t NULLS LAST, decided_at DESC NULLS LAST, ord DESC) = 1
+"""
+
 P9_SQL = r"""
 WITH d AS (SELECT doc_id AS k, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 i AS (SELECT item_id AS k, text FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
@@ -133,8 +149,8 @@ SELECT DISTINCT dx.k AS doc_id, ix.k AS item_id FROM dx JOIN ix USING (x)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_names, p4_found, p4_pieces, p5_found, p7_found, p8_containers, p9_found, p9_templates, p10_found, p10_composition)}
+    return {f.__name__: f for f in (p1_found, p1_names, p4_found, p4_pieces, p5_found, p7_found, p7_records, p8_containers, p9_found, p9_templates, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL, "p5_found": P5_SQL, "p7_found": P7_SQL, "p9_found": P9_SQL}
+    return {"p4_found": P4_SQL, "p5_found": P5_SQL, "p7_found": P7_SQL, "p7_records": P7_RECORDS_SQL, "p9_found": P9_SQL}

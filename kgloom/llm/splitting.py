@@ -1,9 +1,11 @@
 """Splitting oversized items at natural boundaries.
 
-A text goes through a hierarchy of separators: section (the item itself), paragraph, line,
-sentence, word, character. A unit that fits is kept whole; one that does not is cut by the next
-finer separator. Units are then packed greedily into pieces, each with the item's context line in
-front and, where asked for, the end of the piece before it as overlap.
+A text goes through a hierarchy of separators: section (a heading line behind an empty line),
+paragraph, line, sentence, word, character. A unit that fits is kept whole; one that does not is
+cut by the next finer separator. Units are then packed greedily into pieces, each with the item's
+context line in front and, where asked for, the end of the piece before it as overlap.
+
+The boundary reported for an item is the finest separator that this cutting had to use.
 
 Work is linear in the text and happens row by row, without any shuffle; only items above the limit
 reach Python.
@@ -23,13 +25,15 @@ OVERLAP = 100
 BOUNDARIES = ("paragraph", "line", "sentence", "word", "character")
 
 # Where each kind of unit ends. A finer unit also ends where the coarser ones do, since it is cut
-# out of them.
+# out of them; a section ends at an empty line, where a paragraph does as well.
 _BREAK = r"(?:\r\n|\r(?!\n)|[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
-_PARAGRAPH = re.compile(rf"{_BREAK}(?:[^\S\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*{_BREAK})+")
+_EMPTY = rf"{_BREAK}(?:[^\S\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*{_BREAK})+"
+_SECTION = re.compile(rf"{_EMPTY}(?=#{{1,6}}\s)")
+_PARAGRAPH = re.compile(_EMPTY)
 _LINE = re.compile(_BREAK)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _WORD = re.compile(r"\s+")
-_ENDS = (_PARAGRAPH, _LINE, _SENTENCE, _WORD)
+_ENDS = (_SECTION, _PARAGRAPH, _LINE, _SENTENCE, _WORD)
 
 
 def context_line(section_path: Column) -> Column:
@@ -55,43 +59,38 @@ def units(text: str, level: int) -> list[tuple[int, int]]:
     return trimmed
 
 
-def boundary(text: str, room: int) -> str:
-    """The coarsest kind of unit all of which are within ``room``."""
-    parts = [text]
-    for level, name in enumerate(BOUNDARIES[:-1]):
-        parts = [p[a:b] for p in parts for a, b in units(p, level)]
-        if all(len(p) <= room for p in parts):
-            return name
-        # Units that fit need no finer look: all of theirs fit as well.
-        parts = [p for p in parts if len(p) > room]
-    return "character"
-
-
-def atoms(text: str, room: int, level: int = 0, start: int = 0) -> Iterator[tuple[int, int]]:
-    """Spans within ``room``, in order: every unit by the coarsest separator that serves."""
-    stack = [(start, start + len(text), level)]
+def atoms(text: str, room: int, step: int | None = None) -> Iterator[tuple[int, int, int]]:
+    """Spans within ``room`` in order, each with the level of the separator that made it small enough.
+
+    Every unit is cut by the coarsest separator that serves; only a word above the room is cut
+    anywhere, into spans of ``step`` characters. Levels are places in ``_ENDS``, and their number
+    for characters; a text that fits as it is has level 0.
+    """
+    stack = [(a, b, 0) for a, b in reversed(units(text, 0))]
     while stack:
         a, b, k = stack.pop()
         if b - a <= room:
-            if b > a:
-                yield a, b
-        elif k == len(_ENDS):
-            yield from ((x, min(x + room, b)) for x in range(a, b, room))
+            yield a, b, k
+        elif k == len(_ENDS) - 1:
+            yield from ((x, min(x + (step or room), b), k + 1) for x in range(a, b, step or room))
         else:
-            stack.extend((a + x, a + y, k + 1) for x, y in reversed(units(text[a - start : b - start], k)))
+            stack.extend((a + x, a + y, k + 1) for x, y in reversed(units(text[a:b], k + 1)))
 
 
-def pieces(text: str, room: int, overlap: int = 0) -> list[str]:
-    """The text's pieces of at most ``room`` characters each, overlap included.
+def cut_up(text: str, room: int, overlap: int = 0) -> tuple[str, list[str]]:
+    """The boundary that serves and the pieces of at most ``room`` characters each, overlap included.
 
     Atoms are packed greedily. A piece after the first begins with the last ``overlap`` characters
-    of what came before it, cut forward to a word's start where there is one, if piece and overlap
-    fit together; what separates them in the text stays between them.
+    of what came before it, cut forward to a word's start where there is one; what separates them in
+    the text stays between them. A unit that leaves less room than the overlap has a shorter one: the
+    overlap makes no unit be cut.
     """
     room = max(1, room)
     overlap = max(0, min(overlap, room - 1))
     spans: list[list[int]] = []
-    for a, b in atoms(text, max(1, room - overlap)):
+    deepest = 0
+    for a, b, level in atoms(text, room, room - overlap):
+        deepest = max(deepest, level)
         if spans and b - spans[-1][0] <= room - (overlap if len(spans) > 1 else 0):
             spans[-1][1] = b
         else:
@@ -99,14 +98,23 @@ def pieces(text: str, room: int, overlap: int = 0) -> list[str]:
     out = []
     for i, (a, b) in enumerate(spans):
         if i and overlap:
-            lead = max(spans[i - 1][0], a - overlap)
+            lead = max(spans[i - 1][0], a - overlap, b - room)
             if lead < a and lead > 0 and not text[lead - 1].isspace():
                 word = _WORD.search(text, lead, a)
                 lead = word.end() if word and word.end() < a else lead
-            if b - lead <= room:
-                a = lead
+            a = min(a, lead)
         out.append(text[a:b])
-    return out
+    return BOUNDARIES[max(0, deepest - 1)], out
+
+
+def boundary(text: str, room: int) -> str:
+    """The coarsest kind of unit all of which are within ``room``."""
+    return cut_up(text, room)[0] if room > 0 else BOUNDARIES[-1]
+
+
+def pieces(text: str, room: int, overlap: int = 0) -> list[str]:
+    """The text's pieces of at most ``room`` characters each, overlap included."""
+    return cut_up(text, room, overlap)[1]
 
 
 def split_items(items: DataFrame, item: str = "id", text: str = "text", context: Column | None = None, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -114,8 +122,8 @@ def split_items(items: DataFrame, item: str = "id", text: str = "text", context:
 
     ``context`` is put in front of every piece and counts towards the limit, in characters. An item
     whose context leaves no room for a single character is cut to pieces of ``limit`` characters
-    without it. ``boundary`` is the coarsest kind of unit that serves for the whole item, overlap not
-    counted. Items that fit, null ids, null and blank texts have no rows; a repeated row repeats its
+    without it, with boundary ``character``. ``boundary`` is the coarsest kind of unit that serves for
+    the whole item, overlap not counted. Items that fit, null ids, null and blank texts have no rows; a repeated row repeats its
     pieces (:func:`chunk_pieces` drops them).
     """
     context = F.lit("") if context is None else context
@@ -124,17 +132,17 @@ def split_items(items: DataFrame, item: str = "id", text: str = "text", context:
         .where(F.col("item").isNotNull() & (F.length("context") + F.length("text") > limit))
     )
 
-    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = []
             for i, t, c in zip(batch["item"], batch["text"], batch["context"]):
-                room, head = (limit - len(c), c) if len(c) < limit else (limit, "")
-                got = pieces(t, room, overlap)
-                if not got:
-                    continue
-                yield pd.DataFrame({"item": i, "piece_ix": range(len(got)), "boundary": boundary(t, limit - len(c)), "piece": [head + p for p in got]})
+                fits = len(c) < limit
+                kind, got = cut_up(t, limit - len(c) if fits else limit, overlap)
+                out += [(i, n, kind if fits else BOUNDARIES[-1], (c if fits else "") + p) for n, p in enumerate(got)]
+            yield pd.DataFrame(out, columns=["item", "piece_ix", "boundary", "piece"])
 
     kind = dict(over.dtypes)["item"]
-    return over.mapInPandas(cut_up, f"item {kind}, piece_ix int, boundary string, piece string")
+    return over.mapInPandas(split, f"item {kind}, piece_ix int, boundary string, piece string")
 
 
 def chunk_pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

@@ -9,7 +9,7 @@ word n-grams, first with all inherited labels, then again without those that it
 The threshold of each is calibrated on labelled documents held out from training, for the rule that
 is asked for: a document has a subject that at least ``MIN_SENTENCES`` of its sentences have.
 
-The models are fitted on a bounded sample of labelled documents (``max_docs``, ``max_sentences``);
+The models are fitted on a bounded sample of labelled documents (``max_docs``, ``max_chars``);
 every document is then scored whole. Texts never leave their task; what is shuffled is one row per
 document and subject found.
 """
@@ -18,9 +18,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 #: Hash buckets of the n-grams.
 BUCKETS = 1 << 18
 MIN_SENTENCES = 2
-#: A model is fitted on at most so many labelled documents, of at most so many characters, and so
-#: many sentences of each. Every document is scored, whatever its size.
-MAX_DOCS, MAX_CHARS, MAX_SENTENCES = 8_000, 20_000, 400
-#: Features handled at a time in training; bounds the driver's memory.
+#: A model is fitted on at most so many labelled documents (and as many texts of no subject), those
+#: of the smallest hashes among documents of at most so many characters, taken whole. Every
+#: document is scored, whatever its size.
+MAX_DOCS, MAX_CHARS = 8_000, 20_000
+#: Features (in scoring, characters) handled at a time; bounds the memory.
 BLOCK = 200_000
 
 _LINE_END = re.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+")
@@ -66,15 +67,30 @@ def sentences(text: str) -> tuple[list[str], list[str]]:
     return found, heads
 
 
-@lru_cache(200_000)
-def _bucket(gram: str) -> int:
-    return zlib.crc32(gram.encode()) % BUCKETS
+class _WordHashes(dict):
+    """A hash of every word met; numbers are all one word. Cleared where it would grow beyond bounds."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = zlib.crc32(b"0" if word.isdigit() else word.encode())
+        return h
 
-def features(sentence: str) -> list[int]:
-    """Different hashed unigrams and bigrams of a sentence; numbers are all one word."""
-    words = ["0" if w.isdigit() else w for w in _WORD.findall(sentence.lower())]
-    return sorted({_bucket(w) for w in words} | {_bucket(f"{a} {b}") for a, b in zip(words, words[1:])})
+
+_HASHES = _WordHashes()
+
+
+def features(sents: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sentence and bucket of every different hashed unigram and bigram, in order of the sentences."""
+    words = [_WORD.findall(s.lower()) for s in sents]
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    h = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
+    at = np.repeat(np.arange(len(words)), lengths)
+    together = at[1:] == at[:-1]
+    pairs = (h[:-1] * 0x9E3779B1 + h[1:])[together]
+    grams = np.concatenate([h, pairs ^ (pairs >> 29)]) & (BUCKETS - 1)
+    both = np.unique(np.concatenate([at, at[1:][together]]) * BUCKETS + grams)
+    return both // BUCKETS, both % BUCKETS
 
 
 @dataclass
@@ -87,34 +103,33 @@ class Model:
     thresholds: np.ndarray
 
     def scores(self, sents: Sequence[str]) -> np.ndarray:
-        rows = [self.index[features(s)] for s in sents]
-        lengths = [int((r >= 0).sum()) for r in rows]
-        flat = np.concatenate([r[r >= 0] for r in rows] + [np.empty(0, np.int32)]).astype(np.int64)
         out = np.tile(self.weights[-1], (len(sents), 1))
-        np.add.at(out, np.repeat(np.arange(len(sents)), lengths), self.weights[flat])
+        # Blocks of sentences bound the memory for their features.
+        start, size = 0, 0
+        for i, s in enumerate(sents):
+            size += len(s)
+            if size >= BLOCK or i + 1 == len(sents):
+                rows, buckets = features(sents[start : i + 1])
+                place = self.index[buckets]
+                rows, place = rows[place >= 0], place[place >= 0]
+                if len(rows):
+                    ids, starts = np.unique(rows, return_index=True)
+                    out[start + ids] += np.add.reduceat(self.weights[place], starts)
+                start, size = i + 1, 0
         return out
 
-    def counts(self, text: str) -> np.ndarray:
-        """How many sentences of the text each subject has."""
-        sents, _ = sentences(text)
-        if not sents:
-            return np.zeros(len(self.subjects), int)
-        uses: dict[str, int] = {}
-        for s in sents:
-            uses[s] = uses.get(s, 0) + 1
-        n = np.fromiter(uses.values(), int)
-        return ((self.scores(list(uses)) >= self.thresholds) * n[:, None]).sum(0)
-
-
-def _matrix(sents: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and bucket of every feature."""
-    rows, cols = [], []
-    for i, s in enumerate(sents):
-        f = features(s)
-        rows.append(np.full(len(f), i))
-        cols.append(np.array(f, np.int64))
-    empty = np.empty(0, np.int64)
-    return np.concatenate([*rows, empty]).astype(np.int64), np.concatenate([*cols, empty])
+    def counts(self, texts: Sequence[str]) -> np.ndarray:
+        """How many sentences of each text each subject has: [texts, subjects]."""
+        found = [sentences(t)[0] for t in texts]
+        flat = {s: i for i, s in enumerate(dict.fromkeys(chain.from_iterable(found)))}
+        hits = (self.scores(list(flat)) >= self.thresholds).astype(np.int64)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        out = np.zeros((len(texts), len(self.subjects)), np.int64)
+        if flat and lengths.any():
+            at = np.fromiter(map(flat.__getitem__, chain.from_iterable(found)), np.int64, int(lengths.sum()))
+            some = np.flatnonzero(lengths)
+            out[some] = np.add.reduceat(hits[at], np.concatenate([[0], np.cumsum(lengths[some])[:-1]]))
+        return out
 
 
 class Design:
@@ -186,14 +201,14 @@ def train(docs: Sequence[tuple[str, frozenset[str]]], subjects: Sequence[str], f
     for (text, labels), skip in zip(docs, held):
         if not skip:
             body, heads = sentences(text)
-            for s in dict.fromkeys([*body[:MAX_SENTENCES], *heads[:MAX_SENTENCES]]):
+            for s in dict.fromkeys([*body, *heads]):
                 sents.append(s)
                 labelled.append([place[x] for x in labels])
     for text in foreign:
         body, _ = sentences(text)
         sents += body
         labelled += [[]] * len(body)
-    rows, buckets = _matrix(sents)
+    rows, buckets = features(sents)
     met = np.unique(buckets)
     index = np.full(BUCKETS, -1, np.int32)
     index[met] = np.arange(len(met))
@@ -218,7 +233,7 @@ def _thresholds(model: Model, docs: Sequence[tuple[str, frozenset[str]]], place:
     for i, (text, labels) in enumerate(docs):
         body, _ = sentences(text)
         if len(body) >= MIN_SENTENCES:
-            second[i] = np.sort(model.scores(body[:MAX_SENTENCES]), axis=0)[-MIN_SENTENCES]
+            second[i] = np.sort(model.scores(body), axis=0)[-MIN_SENTENCES]
         for s in labels:
             truth[i, place[s]] = True
     out = np.zeros(len(place))
@@ -232,11 +247,11 @@ def _thresholds(model: Model, docs: Sequence[tuple[str, frozenset[str]]], place:
     return out
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> list[tuple[str, frozenset[str]]]:
-    """At most ``max_docs`` labelled documents with their subjects, the same ones for the same input."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> list[tuple[str, frozenset[str]]]:
+    """At most ``max_docs`` labelled documents of at most ``max_chars`` characters with their subjects, the same ones for the same input."""
     sets = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     some = sets.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    texts = documents.where(F.length("text") <= MAX_CHARS).select("doc_id", "text")
+    texts = documents.where(F.length("text") <= max_chars).select("doc_id", "text")
     rows = texts.join(some, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toPandas()
     return [(t, frozenset(s)) for t, s in zip(rows["text"], rows["subjects"])]
 
@@ -244,24 +259,27 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, max_docs: int = MAX
 def document_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, foreign: DataFrame | None = None, max_docs: int = MAX_DOCS) -> DataFrame:
     """doc_id, subject, n_sentences: every subject that at least two sentences of the text have.
 
-    ``foreign``: texts (column ``text``, at most ``max_docs`` of them) that are of no subject wherever
-    they are quoted.
+    ``foreign``: texts (column ``text``) that are of no subject wherever they are quoted; a model is
+    fitted on ``max_docs`` of them at most, those of the smallest hashes.
 
     Null ids and null or blank texts have no rows; a repeated row counts once; labels of unknown
     documents or subjects are ignored; without any label nothing is found. Headings are no
     sentences, but a model learns from them.
     """
-    names = sorted({r[0] for r in areas.select("subject").where(F.col("subject").isNotNull()).distinct().limit(10_000).collect()})
+    names = sorted({r[0] for r in areas.select("subject").where(F.col("subject").isNotNull()).distinct().collect()})
     known = set(names)
     sample = [(t, frozenset(s & known)) for t, s in labelled_sample(documents, labels, max_docs)]
-    alien = [] if foreign is None else [r[0] for r in foreign.select("text").where(F.col("text").isNotNull()).distinct().orderBy("text").limit(max_docs).collect()]
+    alien = [] if foreign is None else [r[0] for r in foreign.select("text").where(F.col("text").isNotNull()).distinct().orderBy(F.xxhash64("text"), "text").limit(max_docs).collect()]
     shared = documents.sparkSession.sparkContext.broadcast(train(sample, names, alien))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for batch in batches:
-            out = [(d, model.subjects[k], int(n[k])) for d, t in zip(batch["doc_id"], batch["text"]) for n in [model.counts(t)] for k in np.flatnonzero(n >= MIN_SENTENCES)]
-            yield pd.DataFrame(out, columns=["doc_id", "subject", "n_sentences"])
+            for start in range(0, len(batch), 256):
+                part = batch.iloc[start : start + 256]
+                n = model.counts(part["text"].tolist())
+                i, k = np.nonzero(n >= MIN_SENTENCES)
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[i], "subject": np.array(model.subjects, object)[k], "n_sentences": n[i, k].astype(np.int32)})
 
     texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     return texts.mapInPandas(score, "doc_id bigint, subject string, n_sentences int").distinct()

@@ -1,8 +1,9 @@
 """The best representative of each duplicate group, chosen field by field.
 
-Records are ranked within their group by given orders with a deterministic tie-break, and the top
-record is kept. :func:`surviving_mentions` ranks the entity by recency and the surface by trust and
-recency; :func:`completeness` is an order for whole records that no query uses. The rank is a window ordering filtered to its first row, of
+Records are ranked within their group by completeness, trust and recency with a deterministic
+tie-break, and the top record is kept. :func:`surviving_mentions` ranks field by field: first the
+records that have the field, then by trust (for the surface) and recency; :func:`surviving_records`
+keeps one whole record, the one with most of its fields filled. The rank is a window ordering filtered to its first row, of
 which Spark keeps only the first row per group already before the shuffle; a group that holds a
 third of all records therefore arrives as one row per task.
 """
@@ -45,7 +46,45 @@ def top_record(records: DataFrame, group: str, order: Sequence[Column]) -> DataF
     return records.where(F.col(group).isNotNull()).withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") == 1).drop("__rank")
 
 
-def surviving_mentions(decisions: DataFrame, judgments: DataFrame, candidates: DataFrame) -> DataFrame:
+def placed_decisions(decisions: DataFrame, candidates: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """The approved decisions in force with their ``group_id``.
+
+    ``groups`` (group_id, entity_id) are those of :func:`groups.mention_groups`, where they are stored
+    already; else they are made. A decision outside every group is left out.
+    """
+    approved = cut(approved_decisions(decisions))
+    if groups is None:
+        node = connected_components(decision_links(approved, candidates))
+    else:
+        node = groups.select(F.col("entity_id").alias("node"), F.col("group_id").alias("group"))
+    # One id of the decision finds its group: an own one, else one of its candidate's row.
+    ends = candidates.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("candidate_id")).agg(F.min(F.least("entity_id_a", "entity_id_b")).alias("__end"))
+    placed = approved.join(ends, "candidate_id", "left").withColumn("node", F.coalesce(F.array_min("ids"), "__end"))
+    placed = placed.join(node, "node").select(F.col("group").alias("group_id"), "candidate_id", "decided_at", "ord", "canonical_entity_id", "merged_entity_ids", "aliases")
+    return cut(placed)
+
+
+def aliases(column: Column) -> Column:
+    """The different aliases after trimming, without blank ones; null gives none."""
+    trimmed = F.transform(F.coalesce(column, F.array().cast("array<string>")), strip)
+    return F.array_distinct(F.filter(trimmed, lambda x: x.isNotNull() & (x != "")))
+
+
+def surviving_records(decisions: DataFrame, judgments: DataFrame, candidates: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """group_id, candidate_id, canonical_entity_id, n_aliases, n_filled: the best decision of each group as it is.
+
+    Most complete first (canonical entity, merged ids and aliases, each filled or not), then the one
+    whose pair the most trusted judge calls the same, then the latest, then the one recorded last.
+    """
+    placed = placed_decisions(decisions, candidates, groups).withColumn("n_aliases", F.size(aliases(F.col("aliases"))))
+    filled = F.col("canonical_entity_id").isNotNull().cast("int") + F.coalesce((F.size(F.array_compact("merged_entity_ids")) > 0).cast("int"), F.lit(0)) + (F.col("n_aliases") > 0).cast("int")
+    judged = judgments.where(F.col("same_entity") & F.col("candidate_id").isNotNull()).groupBy("candidate_id").agg(F.min(trust("judged_by")).alias("__trust"))
+    ranked = placed.withColumn("n_filled", filled).join(judged, "candidate_id", "left")
+    best = top_record(ranked, "group_id", [F.desc("n_filled"), F.asc_nulls_last("__trust"), F.desc_nulls_last("decided_at"), F.desc("ord"), F.col("canonical_entity_id")])
+    return best.select("group_id", "candidate_id", "canonical_entity_id", "n_aliases", "n_filled")
+
+
+def surviving_mentions(decisions: DataFrame, judgments: DataFrame, candidates: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """group_id, canonical_entity_id, canonical_surface, n_aliases of every group that has both.
 
     canonical_entity_id: the non-null one decided last; of equal times the one recorded last.
@@ -53,20 +92,15 @@ def surviving_mentions(decisions: DataFrame, judgments: DataFrame, candidates: D
     the pair the same and name one of its two surfaces; of equal ones the smaller text; blank
     texts are none. n_aliases: different aliases after trimming, blank ones apart.
     """
-    approved = cut(approved_decisions(decisions))
-    groups = connected_components(decision_links(approved, candidates))
-    surfaces = candidates.select(F.col("id").alias("candidate_id"), "entity_id_a", "entity_id_b", "surface_a", "surface_b").where(F.col("candidate_id").isNotNull()).distinct()
-    # One id of the decision finds its group: an own one, else one of its candidate's row.
-    ends = surfaces.groupBy("candidate_id").agg(F.min(F.least("entity_id_a", "entity_id_b")).alias("__end"))
-    placed = approved.join(ends, "candidate_id", "left").withColumn("node", F.coalesce(F.array_min("ids"), "__end"))
-    placed = cut(placed.join(groups, "node").select(F.col("group").alias("group_id"), "candidate_id", "decided_at", "ord", "canonical_entity_id", "aliases"))
-
-    entity = top_record(placed.where(F.col("canonical_entity_id").isNotNull()), "group_id", [F.desc("decided_at"), F.desc("ord"), F.col("canonical_entity_id")])
-    same = judgments.where(F.col("same_entity") & (strip(F.col("canonical_surface")) != "")).select("candidate_id", "judged_by", "judged_at", "canonical_surface")
+    placed = placed_decisions(decisions, candidates, groups)
+    surfaces = candidates.where(F.col("id").isNotNull()).select(F.col("id").alias("candidate_id"), F.explode(F.array("surface_a", "surface_b")).alias("canonical_surface")).distinct()
+    # Completeness comes first: a record without the field is ranked behind all that have it.
+    entity = top_record(placed, "group_id", [F.desc(completeness(["canonical_entity_id"])), F.desc_nulls_last("decided_at"), F.desc("ord"), F.col("canonical_entity_id")]).where(F.col("canonical_entity_id").isNotNull())
+    same = judgments.where(F.col("same_entity")).select("candidate_id", "judged_by", "judged_at", "canonical_surface")
     members = placed.where(F.col("candidate_id").isNotNull()).select("candidate_id", "group_id")
-    named = same.join(surfaces.select("candidate_id", F.explode(F.array("surface_a", "surface_b")).alias("canonical_surface")).distinct(), ["candidate_id", "canonical_surface"], "left_semi").join(members, "candidate_id")
-    surface = top_record(named, "group_id", [trust("judged_by"), F.desc_nulls_last("judged_at"), F.col("canonical_surface")])
-    alias = placed.select("group_id", F.explode("aliases").alias("x")).select("group_id", strip(F.col("x")).alias("x")).where(F.col("x") != "").distinct()
+    named = same.join(surfaces, ["candidate_id", "canonical_surface"], "left_semi").join(members, "candidate_id")
+    surface = top_record(named, "group_id", [F.desc(completeness(["canonical_surface"])), trust("judged_by"), F.desc_nulls_last("judged_at"), F.col("canonical_surface")]).where(strip(F.col("canonical_surface")) != "")
+    alias = placed.select("group_id", F.explode(aliases(F.col("aliases"))).alias("x")).distinct()
     counts = alias.groupBy("group_id").agg(F.count(F.lit(1)).cast("int").alias("n_aliases"))
     return (
         entity.select("group_id", "canonical_entity_id")

@@ -161,6 +161,15 @@ def test_survivors(spark, rows):
     assert rows(survivors.surviving_mentions(d.limit(0), j, c.limit(0))) == []
 
 
+def test_surviving_records_are_the_most_complete(spark, rows):
+    d, j, c = _tables(spark)
+    got = rows(survivors.surviving_records(d, j, c), "group_id", "candidate_id", "canonical_entity_id", "n_aliases", "n_filled")
+    assert got == sorted([("e1", "c1", "e2", 2, 3), ("e10", None, "e10", 0, 2), ("e12", None, "e12", 0, 2), ("e20", "c5", "e21", 1, 3)], key=repr)
+    stored = groups.mention_groups(d, c)
+    assert rows(survivors.surviving_records(d, j, c, stored), "group_id", "candidate_id", "canonical_entity_id", "n_aliases", "n_filled") == got
+    assert rows(survivors.surviving_records(d.limit(0), j, c)) == []
+
+
 def test_completeness_ranks_filled_fields(spark, rows):
     import pyspark.sql.functions as F
 
@@ -201,6 +210,30 @@ def test_boundary_is_the_coarsest_that_serves(text, room):
     assert splitting.boundary(text, room) == want
 
 
+def test_units_within_the_room_are_not_cut_for_the_overlap():
+    text = "\n\n".join(c * 1985 for c in "abc")
+    kind, got = splitting.cut_up(text, 2020, 100)
+    assert kind == "paragraph" and [p.lstrip("abc"[i - 1] if i else "").strip() for i, p in enumerate(got)] == [c * 1985 for c in "abc"]
+    assert all(len(p) <= 2020 for p in got)
+
+
+def test_sections_end_before_paragraphs_do():
+    sections = [f"# Part {i}\n\n" + "\n\n".join([f"{i} " * 20] * 2) for i in range(4)]
+    kind, got = splitting.cut_up("\n\n".join(sections), 120)
+    assert kind == "paragraph" and [p.strip() for p in got] == [s.strip() for s in sections]
+
+
+@given(TEXTS, st.integers(1, 60), st.integers(0, 20))
+@settings(max_examples=200, deadline=None)
+def test_boundary_is_what_the_cutting_used(text, room, overlap):
+    kind, got = splitting.cut_up(text, room, overlap)
+    assert kind == splitting.boundary(text, room)
+    if kind != "character":
+        # No word is cut in a piece of whole words, and only an overlap begins inside what came before.
+        words = set(text.split())
+        assert all(set(p.split()) <= words for p in splitting.pieces(text, room))
+
+
 def test_chunks_with_context(spark, rows):
     path = "array<struct<level:int,title:string,anchor:string>>"
     word = "w" * 100
@@ -291,6 +324,41 @@ def test_reparameterised_items(spark, rows):
     assert mixed != ITEM and rows(leakage.leaked_templates(d.limit(0), i)) == []
 
 
+def test_planted_items_with_other_slots(spark):
+    r = random.Random(4)
+    name = lambda: "".join(r.choice(["ka", "lo", "ri", "ve", "su", "ben"]) for _ in range(4)).title()
+    number = lambda: r.choice(["twelve", "forty-two", "90", "seven", "315"])
+    scenes = ["a lighthouse keeper", "the night ferry", "an orchard wall", "the second quarry", "a mill pond", "the old signal box"]
+    deeds = ["counts", "hides", "borrows", "paints", "weighs", "returns"]
+    things = ["oak barrels", "tin whistles", "copper kettles", "wool blankets", "glass floats"]
+
+    def frame():
+        parts = [(r.choice(scenes), r.choice(deeds), r.choice(things), r.choice(scenes)) for _ in range(4)]
+        return lambda names_, numbers: " ".join(f"Near {a} the warden {n} {b} {k} {c} beside {e}." for (a, b, c, e), n, k in zip(parts, names_, numbers))
+
+    frames = [frame() for _ in range(30)]
+    slots = lambda: (r.sample(sorted({name() for _ in range(40)}), 4), r.sample(["twelve", "90", "seven", "315", "eleven"], 4))
+    items = [(i, f(*slots())) for i, f in enumerate(frames)]
+    filler = "The log of the week has no further remark and the clerk went home early again. "
+    docs, want = [], set()
+    for i, f in enumerate(frames):
+        if i % 2:
+            docs.append((i, filler + f(*slots()) + " " + filler))
+            want.add((i, i))
+        else:
+            docs.append((i, filler + frame()(*slots()) + " " + filler))  # another text of the same words
+    d, i = _leaks(spark, docs, items)
+    got = {(x["doc_id"], x["item_id"]) for x in leakage.leaked_templates(d, i).where("verdict = 'reparameterised'").collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
+
+
+def test_verdicts_need_the_whole_vocabulary(spark):
+    d, i = _leaks(spark, [(1, ITEM)])
+    with pytest.raises(ValueError):
+        leakage.ordinary_words(i, limit=3, whole=True)
+    assert len(leakage.ordinary_words(i, limit=3)) == 3
+
+
 # Subjects
 
 TERMS = {"thermal": ["radiator panel", "heat pipe", "survival heater"], "sport": ["race heat", "podium finish", "relay leg"], "law": ["type certificate", "export permit", "liability clause"]}
@@ -314,9 +382,9 @@ def _corpus(n, seed):
 
 def test_subjects_of_held_out_documents():
     model = subjects.train(_corpus(400, 1), list(TERMS), [ITEM])
-    right = sum({model.subjects[k] for k in np.flatnonzero(model.counts(t) >= 2)} == set(labels) for t, labels in _corpus(200, 2))
+    right = sum({model.subjects[k] for k in np.flatnonzero(model.counts([t])[0] >= 2)} == set(labels) for t, labels in _corpus(200, 2))
     assert right >= 190
-    assert not (model.counts(ITEM + " " + ITEM) >= 2).any() and not model.counts("").any()
+    assert not (model.counts([ITEM + " " + ITEM]) >= 2).any() and not model.counts([""]).any() and model.counts([]).shape == (0, 3)
 
 
 def test_headings_and_clutter_are_no_sentences():
