@@ -13,8 +13,8 @@ RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 OWL = "http://www.w3.org/2002/07/owl#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 
-#: Digits that an exponent may shift a number by; beyond, the form counts as no number.
-MAX_SHIFT = 400
+#: Digits that an exponent may shift a number by; a number beyond keeps its exponent in its canonical text.
+MAX_SHIFT = 100_000
 
 
 def strip(c: Column) -> Column:
@@ -35,7 +35,7 @@ def with_canonical(df: DataFrame, value: str, range_local: str, out: str) -> Dat
 
     Null where it is not valid for the type. integer: sign and digits; decimal, double, float: the
     same with fraction and exponent; both in plain notation without plus sign or needless zeros,
-    minus zero as ``0``, and none where the exponent is beyond ``MAX_SHIFT``. boolean: true or
+    minus zero as ``0``; where the exponent is beyond ``MAX_SHIFT``, as digits and exponent (``15e200000``). boolean: true or
     false. date: an existing day. Any other type is a string, valid unless blank.
     Written in steps, so that no step repeats the expression of the one before.
     """
@@ -62,8 +62,15 @@ def with_canonical(df: DataFrame, value: str, range_local: str, out: str) -> Dat
         F.when(F.col("__low") == "", "").otherwise(F.concat(F.lit("."), "__low")),
     )
     low = F.lower(t)
+    # The digits without zeros at either end, and the exponent that belongs to them.
+    digits = F.ltrim(F.rtrim(F.concat("__ip", "__fp"), F.lit("0")), F.lit("0"))
+    zeros = F.length(F.concat("__ip", "__fp")) - F.length(F.rtrim(F.concat("__ip", "__fp"), F.lit("0"))) - F.length("__fp")
+    exponent = F.col("__ex").try_cast("decimal(38,0)") + zeros
+    far = F.when((F.col("__ip") != "") & (F.col("__ex") != "") & kind.isin("decimal", "double", "float"), F.when(digits == "", "0").otherwise(
+        F.concat(F.when(F.col("__sign") == "-", "-").otherwise(""), digits, F.lit("e"), F.coalesce(exponent.cast("string"), F.concat(F.col("__ex"), F.lit("+"), zeros.cast("string"))))
+    ))
     text = (
-        F.when(numeric, F.when(F.col("__shift").isNotNull(), number))
+        F.when(numeric, F.when(F.col("__shift").isNotNull(), number).otherwise(far))
         .when(kind == "boolean", F.when(low.isin("true", "1"), "true").when(low.isin("false", "0"), "false"))
         .when(kind == "date", F.when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & t.try_cast("date").isNotNull(), t))
         .otherwise(F.when(t != "", t))

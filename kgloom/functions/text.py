@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kgloom.functions.lexical import RDF_TYPE, XSD, strip
 
 # Words that an acronym leaves out.
-ACRONYM_STOP_WORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "via", "with")
+ACRONYM_STOP_WORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
 #: At or above AUTO two names are the same; from BAND up to it a judge decides; below they differ.
 BAND, AUTO = 0.40, 0.85
 NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
@@ -205,11 +205,11 @@ def pair_hash(a: Column, b: Column) -> Column:
 
 
 def strip_citations(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"\s*\[T-\d{3}\]", ""), "  +", " ")
+    return F.regexp_replace(F.regexp_replace(text, r"\s*\[T-\d{3,}\]", ""), "  +", " ")
 
 
 def citations(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(\[T-\d{3}\])"), 1)
+    return F.regexp_extract_all(text, F.lit(r"(\[T-\d{3,}\])"), 1)
 
 
 def title_from_stem(stem: Column, suffix: str = "") -> Column:

@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgloom.session import cut, drop
+
 CLASS_SCHEMA = "local string, label string, parent string, domains array<string>, is_component boolean"
 ATTRIBUTE = "array<struct<name:string,value:string,datatype:string>>"
 NODE = f"name:string,cls:string,label:string,comment:string,attributes:{ATTRIBUTE}"
@@ -57,16 +59,22 @@ def classes_for_domain(classes: DataFrame, domain: str) -> DataFrame:
 
 
 def class_closure(classes: DataFrame, child: str = "local", parent: str = "parent") -> DataFrame:
-    """child, ancestor, distance of every class and all above it; a cycle ends where it closes."""
+    """child, ancestor, distance of every class and all above it, by the shortest way; a cycle ends where it closes.
+
+    Every round joins the paths found so far with themselves, so their length doubles; the rounds end
+    when no path is new or shorter, whatever the depth.
+    """
     edges = classes.where(F.col(parent).isNotNull()).select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).distinct()
-    view = f"edges_{abs(hash(id(edges)))}"
-    edges.createOrReplaceTempView(view)
-    return classes.sparkSession.sql(
-        f"""WITH RECURSIVE up(child, ancestor, distance) AS (
-        SELECT child, ancestor, 1 FROM {view}
-        UNION ALL SELECT u.child, e.ancestor, u.distance + 1 FROM up u JOIN {view} e ON u.ancestor = e.child WHERE u.child <> u.ancestor AND u.distance < 90)
-        SELECT child, ancestor, min(distance) AS distance FROM up GROUP BY child, ancestor"""
-    )
+    paths, last = cut(edges.withColumn("distance", F.lit(1))), None
+    while True:
+        state = paths.agg(F.count(F.lit(1)), F.sum("distance")).first()
+        if state == last:
+            return paths
+        last = state
+        on = paths.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("__a"), F.col("distance").alias("__d"))
+        longer = paths.join(on, "ancestor").select("child", F.col("__a").alias("ancestor"), (F.col("distance") + F.col("__d")).alias("distance"))
+        known, paths = paths, cut(paths.unionAll(longer).groupBy("child", "ancestor").agg(F.min("distance").alias("distance")))
+        drop(known)
 
 
 def concrete(classes: DataFrame, root: str, domain: str | None = None) -> DataFrame:

@@ -1,17 +1,19 @@
 """Differences between two copies of a table, by set reconciliation over a finite field.
 
 Every row with a key is hashed to an element of GF(2^61 - 1) and put into a bucket of about
-``BUCKET_ROWS`` rows. For a bucket the two sides exchange only evaluations of their characteristic
-polynomials (the product of ``z - h`` over the rows) at a few points. The ratio of the two is a
-rational function whose numerator has the hashes of rows on the first side only as roots, the
-denominator those on the second side only. It is interpolated under a bound on the number of
-differences that starts at ``FIRST_BOUND`` and is doubled for the buckets that two further points
-do not confirm, up to the bound at which the evaluations would be half as many as the bucket's hashes:
-those of such a bucket are compared themselves. All rows of the keys that the recovered hashes belong
-to are then fetched and compared field by field.
+``BUCKET_ROWS`` rows. Each side keeps the elements of its buckets to itself and makes sketches of
+them: the number of elements and evaluations of their characteristic polynomial (the product of
+``z - h`` over the rows) at a few points. Only sketches are exchanged. Where they differ, the ratio
+of the two polynomials is a rational function whose numerator has the hashes of rows on the first side only as
+roots, the denominator those on the second side only. It is interpolated under a bound on the number
+of differences that starts at ``FIRST_BOUND`` and is doubled, with longer sketches of the buckets
+concerned, until two further points confirm the function. A bucket that ``LAST_BOUND`` does not
+serve is cut into ``SPLIT`` smaller ones, which start anew; since a bucket of few elements is always
+served, this ends for copies as different as may be. Each side then finds the roots among its own elements.
+All rows of the keys that the hashes so recovered belong to are fetched and compared field by field.
 
 Buckets are cut from the row hash, not from the key, so no key, however frequent, fills one; equal
-rows are merged before the shuffle. Only hashes of rows and keys are shuffled for the search, then keys and
+rows are merged before the shuffle. What is shuffled is hashes of rows, each on its own side, then sketches, then keys and
 hashes to find the differing keys, and rows once at most, to fetch those of them.
 
 Cases: equal rows count once; a null field equals a null field; a row without key is the same row as
@@ -29,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.session import cut, small_side
+from kgloom.session import cut, drop, small_side
 
 PRIME = (1 << 61) - 1
 #: Elements lie below this, evaluation points at or above it.
 ELEMENTS = PRIME - (1 << 20)
 BUCKET_ROWS = 32
 FIRST_BOUND = 4
+LAST_BOUND = 16
 CHECKS = 2
+SPLIT = 8
 #: Buckets solved at a time in a task; bounds its memory.
 BATCH = 4096
 
@@ -117,59 +121,43 @@ def powers(points: np.ndarray, k: int) -> np.ndarray:
     return np.stack(out[:-1], axis=1) if k else np.zeros((len(points), 0), np.uint64)
 
 
-def differing(a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marks of the elements of each bucket (row) of ``a`` that ``b`` lacks, and the reverse."""
-    na, nb = in_a.sum(1).astype(int), in_b.sum(1).astype(int)
-    only_a, only_b = np.zeros(a.shape, bool), np.zeros(b.shape, bool)
-    open_, bound, tried = np.arange(len(a)), FIRST_BOUND, 0
-    fa = fb = np.empty((len(a), 0), np.uint64)
-    while len(open_):
-        # Evaluations at the points that this bound adds; those of a smaller bound are kept.
-        points = np.uint64(ELEMENTS) + np.arange(bound + CHECKS, dtype=np.uint64)
-        new = points[fa.shape[1] :]
-        fa = np.concatenate([fa, evaluate(a[open_], in_a[open_], new)], axis=1)
-        fb = np.concatenate([fb, evaluate(b[open_], in_b[open_], new)], axis=1)
-        done = np.zeros(len(open_), bool)
-        for t in range(tried, bound + 1):
-            delta = na[open_] - nb[open_]
-            for s in np.unique(delta[~done]):
-                if abs(s) > t or (t - s) % 2:
-                    continue
-                k = np.flatnonzero(~done & (delta == s))
-                rows, da, db = open_[k], (t + s) // 2, (t - s) // 2
-                mark_a, mark_b = np.zeros((len(k), a.shape[1]), bool), np.zeros((len(k), b.shape[1]), bool)
-                if t:
-                    z = points[:t]
-                    f = mul(fa[k][:, :t], inverse(fb[k][:, :t]))
-                    za, zb = powers(z, da + 1), powers(z, db + 1)
-                    left = np.broadcast_to(za[:, :da], (len(k), t, da))
-                    system = np.concatenate([left, sub(np.zeros((), np.uint64), mul(f[:, :, None], zb[None, :, :db]))], axis=2) if db else left
-                    x = solve(np.ascontiguousarray(system), sub(mul(f, zb[None, :, db]), np.broadcast_to(za[:, da], f.shape)))
-                    mark_a = in_a[rows] & (horner(x[:, :da], a[rows]) == 0) if da else mark_a
-                    mark_b = in_b[rows] & (horner(x[:, da:], b[rows]) == 0) if db else mark_b
-                # The differences found must explain both sides at every point, the unused ones too.
-                left = mul(fa[k], evaluate(*_packed(b[rows], mark_b), points))
-                right = mul(fb[k], evaluate(*_packed(a[rows], mark_a), points))
-                good = (left == right).all(1)
-                only_a[rows[good]], only_b[rows[good]] = mark_a[good], mark_b[good]
-                done[k[good]] = True
-        # Where the next sketch would not be half as long as the bucket itself, the hashes are compared.
-        listed = ~done & (4 * bound >= na[open_] + nb[open_])
-        for i in open_[listed]:
-            x, y = a[i][in_a[i]], b[i][in_b[i]]
-            only_a[i] = in_a[i] & ~np.isin(a[i], y)
-            only_b[i] = in_b[i] & ~np.isin(b[i], x)
-        done |= listed
-        open_, fa, fb = open_[~done], fa[~done], fb[~done]
-        tried, bound = bound + 1, bound * 2
-    return only_a, only_b
-
-
-def _packed(members: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Only the marked members of each row, in as few columns as hold them."""
-    width = int(mark.sum(1).max()) if mark.size else 0
-    order = np.argsort(~mark, axis=1, kind="stable")[:, :width]
-    return np.take_along_axis(members, order, 1), np.take_along_axis(mark, order, 1)
+def points(bound: int) -> np.ndarray:
+    """Where polynomials are evaluated under a bound: as many points, and ``CHECKS`` more."""
+    return np.uint64(ELEMENTS) + np.arange(bound + CHECKS, dtype=np.uint64)
+
+
+def interpolate(na: np.ndarray, nb: np.ndarray, fa: np.ndarray, fb: np.ndarray, bound: int) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """From sketches of two sides' buckets the polynomials of the elements of one side only.
+
+    ``na``, ``nb``: numbers of elements; ``fa``, ``fb``: evaluations at ``points(bound)``, by bucket.
+    Gives per bucket the coefficients of both monic polynomials, low ones first and the leading 1 left out, or null
+    where the differences are more than the bound allows: the further points do not confirm any.
+    """
+    z = points(bound)
+    ratio = mul(fa, inverse(fb))
+    delta = na - nb
+    out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(na)
+    open_ = np.ones(len(na), bool)
+    for t in range(bound + 1):
+        for s in np.unique(delta[open_]):
+            if abs(s) > t or (t - s) % 2:
+                continue
+            k = np.flatnonzero(open_ & (delta == s))
+            da, db = (t + s) // 2, (t - s) // 2
+            f = ratio[k]
+            x = np.zeros((len(k), 0), np.uint64)
+            if t:
+                za, zb = powers(z[:t], da + 1), powers(z[:t], db + 1)
+                left = np.broadcast_to(za[:, :da], (len(k), t, da))
+                system = np.concatenate([left, sub(np.zeros((), np.uint64), mul(f[:, :t, None], zb[None, :, :db]))], axis=2) if db else left
+                x = solve(np.ascontiguousarray(system), sub(mul(f[:, :t], zb[None, :, db]), np.broadcast_to(za[:, da], (len(k), t))))
+            # The function must hold at every point, the unused ones too.
+            at = np.broadcast_to(z, (len(k), len(z)))
+            good = (horner(x[:, :da], at) == mul(f, horner(x[:, da:], at))).all(1)
+            for i in np.flatnonzero(good):
+                out[k[i]] = x[i, :da], x[i, da:]
+            open_[k[good]] = False
+    return out
 
 
 def _matrix(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,16 +169,52 @@ def _matrix(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return out, present
 
 
-def _solve_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketches(bound: int):
+    z = points(bound)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), BATCH):
+                batch = whole.slice(start, BATCH)
+                x, present = _matrix(batch.column(2))
+                f = evaluate(x, present, z).astype(np.int64)
+                rows = pa.ListArray.from_arrays(np.arange(0, f.size + 1, len(z), dtype=np.int32), pa.array(f.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(present.sum(1).astype(np.int32)), rows], names=["side", "bucket", "n", "f"])
+
+    return run
+
+
+def _interpolated(bound: int):
+    width = len(points(bound))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), BATCH):
+                batch = whole.slice(start, BATCH)
+                na, nb = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 3))
+                fa, fb = (batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.uint64).reshape(-1, width) for i in (2, 4))
+                got = interpolate(na, nb, fa, fb, bound)
+                for side in (0, 1):
+                    some = [None if g is None else g[side].astype(np.int64).tolist() for g in got]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), side, np.int8)), batch.column(0), pa.array(some, pa.list_(pa.int64()))], names=["side", "bucket", "c"])
+
+    return run
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The elements of a bucket at which its polynomial is zero."""
     for whole in batches:
         for start in range(0, len(whole), BATCH):
             batch = whole.slice(start, BATCH)
-            a, in_a = _matrix(batch.column(0))
-            b, in_b = _matrix(batch.column(1))
-            only_a, only_b = differing(a, in_a, b, in_b)
-            h = np.concatenate([a[only_a], b[only_b]]).astype(np.int64)
-            side = np.concatenate([np.zeros(only_a.sum(), np.int8), np.ones(only_b.sum(), np.int8)])
-            yield pa.RecordBatch.from_arrays([pa.array(side), pa.array(h)], names=["side", "h"])
+            x, present = _matrix(batch.column(1))
+            c, known = _matrix(batch.column(2))
+            degree = known.sum(1)
+            for d in np.unique(degree[degree > 0]):
+                k = np.flatnonzero(degree == d)
+                hit = present[k] & (horner(c[k][:, :d], x[k]) == 0)
+                h = x[k][hit].astype(np.int64)
+                side = np.repeat(batch.column(0).to_numpy(zero_copy_only=False)[k], hit.sum(1))
+                yield pa.RecordBatch.from_arrays([pa.array(side.astype(np.int8)), pa.array(h)], names=["side", "h"])
 
 
 def row_hash(columns: Sequence[str]) -> Column:
@@ -201,11 +225,37 @@ def row_hash(columns: Sequence[str]) -> Column:
 
 def reconcile_hashes(left: DataFrame, right: DataFrame, rows: int) -> DataFrame:
     """Hashes (column ``h`` of each side) of rows on one side only: ``side`` 0 or 1, ``h``."""
-    buckets = max(1, rows // BUCKET_ROWS)
+    buckets, bound, depth = max(1, rows // BUCKET_ROWS), FIRST_BOUND, 0
     # The low bits of h are the element; the bucket takes an independent hash of it.
-    tagged = left.select("h", F.lit(True).alias("a")).unionAll(right.select("h", F.lit(False).alias("a"))).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    sets = tagged.groupBy("bucket").agg(F.collect_set(F.when(F.col("a"), F.col("h"))).alias("x"), F.collect_set(F.when(~F.col("a"), F.col("h"))).alias("y"))
-    return sets.select("x", "y").mapInArrow(_solve_batches, "side tinyint, h bigint")
+    tagged = left.select(F.lit(0).cast("tinyint").alias("side"), "h").unionAll(right.select(F.lit(1).cast("tinyint").alias("side"), "h"))
+    sets = cut(tagged.groupBy("side", F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).agg(F.collect_set("h").alias("x")))
+    found, written = None, [sets]
+    while True:
+        sketch = sets.mapInArrow(_sketches(bound), "side tinyint, bucket bigint, n int, f array<bigint>")
+        # A side without elements in a bucket has the empty product there.
+        of = [F.max(F.when(F.col("side") == i, F.struct("n", "f"))).alias(c) for i, c in ((0, "a"), (1, "b"))]
+        none = F.struct(F.lit(0).alias("n"), F.array_repeat(F.lit(1).cast("bigint"), len(points(bound))).alias("f"))
+        both = sketch.groupBy("bucket").agg(*of).select("bucket", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b")).where(F.col("a") != F.col("b"))
+        solved = cut(both.select("bucket", F.col("a.n").alias("na"), F.col("a.f").alias("fa"), F.col("b.n").alias("nb"), F.col("b.f").alias("fb")).mapInArrow(_interpolated(bound), "side tinyint, bucket bigint, c array<bigint>"))
+        some = solved.where(F.size("c") > 0)
+        roots = sets.join(small_side(some), ["side", "bucket"]).select("side", "x", "c").mapInArrow(_roots, "side tinyint, h bigint")
+        found = roots if found is None else found.unionAll(roots)
+        left_ = solved.where(F.col("c").isNull()).select("bucket").distinct()
+        written.append(solved)
+        if left_.isEmpty():
+            out = cut(found)
+            drop(*written)
+            return out
+        rest = sets.join(small_side(left_), "bucket", "left_semi").select("side", "bucket", "x")
+        if bound < LAST_BOUND:
+            bound *= 2
+        else:
+            # Other bits of the same hash cut the bucket further.
+            bound, depth = FIRST_BOUND, depth + 1
+            part = F.pmod(F.xxhash64("h", F.lit(depth)), F.lit(SPLIT))
+            rest = rest.select("side", "bucket", F.explode("x").alias("h")).groupBy("side", (F.col("bucket") * SPLIT + part).alias("bucket")).agg(F.collect_set("h").alias("x"))
+        sets = cut(rest)
+        written.append(sets)
 
 
 def differences(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str], names: tuple[str, str] = ("only_left", "only_right")) -> DataFrame:
@@ -214,15 +264,16 @@ def differences(left: DataFrame, right: DataFrame, key: str, fields: Sequence[st
     left, right = left.select(*every), right.select(*every)
     rows = max(left.count(), right.count())  # from Parquet's footers
     keyed = [d.where(F.col(key).isNotNull()).withColumn("h", row_hash(every)) for d in (left, right)]
-    found = cut(reconcile_hashes(keyed[0].select("h"), keyed[1].select("h"), rows))
+    found = reconcile_hashes(keyed[0].select("h"), keyed[1].select("h"), rows)
     both = keyed[0].withColumn("side", F.lit(0).cast("tinyint")).unionAll(keyed[1].withColumn("side", F.lit(1).cast("tinyint")))
-    keys = both.select(key, "side", "h").join(found, ["side", "h"], "left_semi").select(key)
+    keys = both.select(key, "side", "h").join(small_side(found), ["side", "h"], "left_semi").select(key)
     # Equal sets of several versions have no hash on one side only; one side's counts find them.
     k = F.xxhash64(key).alias("k")
     several = cut(keyed[0].select(k, "h").groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("k"))
     if not several.isEmpty():
         keys = keys.unionAll(left.select(key, k).join(small_side(several), "k", "left_semi").select(key))
     keys = cut(keys.distinct())
+    drop(found, several)
     # All versions of a differing key, those equal on both sides too.
     versions = cut(both.join(small_side(keys), key, "left_semi").select("side", *every).distinct())
     version = F.struct(*fields)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import citations, first_number, found_in_text, label_from_iri, local_any, local_hash_slash, looks_like_iri
+from kgloom.providers.base import Provider
+from kgloom.providers.functions import ask, raise_errors
+from kgloom.session import cut
 
 
 def anchor_map(entries: DataFrame, key: str = "id") -> DataFrame:
@@ -14,7 +19,8 @@ def anchor_map(entries: DataFrame, key: str = "id") -> DataFrame:
     Places follow from counts per id over a range-partitioned sort, not from one global window.
     """
     n = entries.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    ranged = n.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("part", F.spark_partition_id())
+    # Written once: the sizes and the places must come from the same ranges.
+    ranged = cut(n.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("part", F.spark_partition_id()))
     sizes = ranged.groupBy("part").agg(F.sum("n").alias("size"))
     before = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     w = Window.partitionBy("part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
@@ -63,6 +69,22 @@ def template_sections(entries: DataFrame, anchors: DataFrame) -> DataFrame:
     return groups.select("s", F.col("first").alias("section_ix"), label_from_iri(F.col("s")).alias("title"), F.array_join(sentence, " ").alias("paragraph"))
 
 
+def ask_sections(entries: DataFrame, anchors: DataFrame, factory: Callable[[], Provider]) -> DataFrame:
+    """s, title, paragraphs: a section per subject as a provider writes it from its facts with anchors.
+
+    An answer that leaves out an anchor, or makes one up, is an error of its row, which fails the query.
+    """
+    fact = F.struct(label_from_iri(F.col("p")).alias("predicate"), F.when(F.col("o").startswith("http"), local_hash_slash(F.col("o"))).otherwise(F.col("o")).alias("object"), "anchor")
+    grouped = entries.join(anchors, "id").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("ord", "p", "o", fact.alias("fact")))).alias("f"))
+    asked = grouped.select("s", label_from_iri(F.col("s")).alias("label"), F.transform("f", lambda x: x["fact"]).alias("facts"))
+    got = raise_errors(ask(asked, "synthesize", {"label": "label", "facts": "facts"}, factory))
+    read = got.withColumn("a", F.from_json("answer", "title string, paragraphs array<string>"))
+    cited = F.array_sort(F.array_distinct(F.flatten(F.transform("a.paragraphs", citations))))
+    asked_for = F.array_sort(F.array_distinct(F.transform("facts", lambda x: x["anchor"])))
+    whole = F.when(cited == asked_for, F.col("a.paragraphs")).otherwise(F.raise_error(F.concat(F.lit("other facts than asked for: "), F.col("s"))).cast("array<string>"))
+    return read.select("s", F.col("a.title").alias("title"), whole.alias("paragraphs"))
+
+
 def assemble(sections: DataFrame, doc_id: str, title: str) -> DataFrame:
     """doc_id, title, markdown of one document, sections in order."""
     body = F.array_sort(F.collect_list(F.struct("section_ix", F.concat(F.lit("## "), F.col("title"), F.lit("\n\n"), F.col("paragraph")).alias("t"))))

@@ -13,8 +13,8 @@ from the text that holds (``raw_text`` unless it is blank, else ``value`` and ``
 text. Readings whose unit belongs to another kind of quantity are no candidates.
 
 Cases: null or empty arrays give no rows; null or blank names, texts and units, ranges,
-placeholders, shares, texts without a unit and numbers beyond the float range give no quantity;
-repeated rows count once; very long texts are read whole.
+placeholders, shares, texts without a unit and quantities whose thousandths are beyond 64 bits give none;
+numbers of any length are read whole; repeated rows count once; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.session import cut
+
 # Kind of quantity -> common unit; units with their exact factor to it. Temperature
 # units carry (factor, offset): kelvin = value * factor + offset.
 _LB, _G = Fraction("0.45359237"), Fraction("9.80665")
@@ -174,8 +176,9 @@ MULTIPLIERS = {"hundred": 100, "thousand": 1000, "million": 10**6, "billion": 10
 #: Half a turn in degrees over pi, to more places than any rounding to thousandths can need.
 _RAD = Fraction(180) / Fraction("3.14159265358979323846264338327950288419716939937510")
 _NAMES = {"lb": _LB, "g": _G, "in": _IN, "rad": _RAD}
-#: Numbers of more digits, or with a greater exponent, are not taken for quantities.
-MAX_DIGITS, MAX_EXPONENT = 400, 300
+#: Tens by which any unit here and the rounding to thousandths can shift a number, and more: beyond, a
+#: result cannot be within 64 bits, or cannot differ from zero.
+_FAR = 60
 
 
 @lru_cache(None)
@@ -239,26 +242,41 @@ def unit_of(kind: str, spelled: str) -> Unit | None:
     return EXACT.get((kind, spelled)) or FOLDED.get((kind, spelled.lower().replace("μ", "µ"))) or FOLDED.get((kind, spelled.lower().replace(" ", "")))
 
 
+def _whole(digits: str) -> int:
+    """A whole number of any length; the interpreter's own reading refuses very long ones."""
+    digits = re.sub(r"\s", "", digits)
+    if len(digits) <= 4000:
+        return int(digits or "0")
+    sign = -1 if digits[0] == "-" else 1
+    digits = digits.lstrip("+-")
+    half = len(digits) // 2
+    return sign * (_whole(digits[:half]) * 10 ** (len(digits) - half) + _whole(digits[half:]))
+
+
 def _value(m: re.Match) -> Fraction | None:
     if m["word"]:
         parts = re.split(r"[-\s]", m["word"].lower())
         x = Fraction(sum(NUMBER_WORDS[p] for p in parts))
     elif m["up"]:
-        if not int(m["down"][:MAX_DIGITS]):
+        down = _whole(m["down"])
+        if not down:
             return None
-        x = Fraction(int(m["up"][:MAX_DIGITS]), int(m["down"][:MAX_DIGITS])) + int(m["mixed"] or 0)
+        x = Fraction(_whole(m["up"]), down) + _whole(m["mixed"] or "0")
     else:
         d = m["digits"]
-        if len(d) > MAX_DIGITS:
-            return None
         if _GROUPED.fullmatch(d):
             d = re.sub(rf"[,'’{_GAP}]", "", d)
-        x = Fraction(d.replace(",", "."))
+        whole, _, part = d.replace(",", ".").partition(".")
+        x = Fraction(_whole(whole + part), 10 ** len(part))
     if m["pow"] or m["exp"]:
-        e = int((m["pow"] or m["exp"]).translate(_SUPERSCRIPTS))
-        if abs(e) > MAX_EXPONENT:
+        e = _whole((m["pow"] or m["exp"]).translate(_SUPERSCRIPTS))
+        tens = (len(str(x.numerator)) if x.numerator < 10**4000 else x.numerator.bit_length() * 3 // 10) - x.denominator.bit_length() * 3 // 10 + e
+        if not x or tens < -_FAR:
+            x = Fraction(0)
+        elif tens > _FAR:
             return None
-        x *= Fraction(10) ** e
+        else:
+            x *= Fraction(10) ** e
     for w in re.findall(r"[a-z]+", (m["mult"] or "").lower()):
         x *= MULTIPLIERS[w]
     return -x if m["sign"] in ("-", "−") else x
@@ -397,6 +415,38 @@ def measured_attributes(entities: DataFrame) -> DataFrame:
     return elements.mapInPandas(_measure, "entity_id string, attr_ix int, value_milli bigint, is_unique boolean").distinct()
 
 
+def record_units(entities: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """name, unit, meant, rms, is_unique: the units in which ``value`` is recorded, by attribute and unit as spelled.
+
+    A source is an attribute together with the unit text of its record (null where it is blank). The
+    identity is that the recorded number, in one of the attribute's units, is the quantity that
+    ``raw_text`` states; :func:`source_units` finds the unit that leaves the least log residuals over all
+    records of the source. Where units are wrong or missing at random no unit fits and ``rms`` is large.
+    Temperatures, whose scales are no factors, and records without a number or a quantity in the text have no rows.
+    """
+
+    def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for name, raw, value, unit in b[["name", "raw_text", "value", "unit"]].where(b.notna(), None).itertuples(index=False):
+                number = re.fullmatch(r"\s*\d+(?:\.\d+)?\s*", value or "")
+                got = readings(name, raw) if raw and number else []
+                if got and 0 < got[0].quantity < 10**15:
+                    out.append((name, unit.strip() if unit and unit.strip() else None, float(got[0].quantity), float(number[0])))
+            yield pd.DataFrame(out, columns=["name", "unit", "stated", "recorded"])
+
+    named = entities.select(F.explode("attributes").alias("a")).select("a.*").where(F.col("name").isin(sorted(SPELLINGS)))
+    rows = cut(named.mapInPandas(both, "name string, unit string, stated double, recorded double").withColumn("source", F.struct("name", "unit")))
+    out = None
+    for kind, table in SPELLINGS.items():
+        factors = {float(_factor(formula)): names[0] for formula, names in table.items()}
+        factors |= {float(_factor(formula)): n for n, formula in EXACT_CASE.get(kind, {}).items()}
+        units = {name: f for f, name in sorted(factors.items())}
+        part = source_units(rows.where(F.col("name") == kind), "source", {"recorded": units}, [({"recorded": 1, "stated": -1}, 1.0)], tolerance)
+        out = part if out is None else out.unionAll(part)
+    return out.select("source.name", "source.unit", F.col("units")["recorded"].alias("meant"), "rms", "is_unique")
+
+
 def source_units(df: DataFrame, source: str, columns: Mapping[str, Mapping[str, float]], identities: Sequence[tuple[Mapping[str, int], float]], tolerance: float = 0.02) -> DataFrame:
     """The units in which each source records its columns, from identities between the columns.
 

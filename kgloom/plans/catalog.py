@@ -14,9 +14,9 @@ from kgloom.operators import align, conflicts, documents, evaluate, generate, gr
 from kgloom.plans import pipelines
 from kgloom.providers import functions as llm_functions
 from kgloom.providers import get_provider
-from kgloom.session import table
+from kgloom.session import scratch, table
 from kgloom.sources.files import with_markdown
-from kgloom.sources.rdf import to_ntriples
+from kgloom.sources.rdf import load_graph, read_ntriples, save_graph, to_ntriples
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLEET = "http://kg.example.org/fleet#"
@@ -134,10 +134,11 @@ def bgp_two_hop(spark: SparkSession, sf: str) -> DataFrame:
     return graph.match_patterns(fleet(spark, sf), [("?x", FLEET + "partOf", "?y"), ("?y", FLEET + "connectsTo", "?z")])
 
 
-@query(f"WITH {_G}, {_W}, {_I} SELECT s, p, o FROM g WHERE s NOT IN (SELECT s FROM ind) AND o NOT IN (SELECT s FROM ind) AND p = '{RDF_TYPE}'")
+@query(f"WITH {_G}, {_W}, {_I} SELECT DISTINCT s, p, o FROM g WHERE s NOT IN (SELECT s FROM ind) AND o NOT IN (SELECT s FROM ind)")
 def tbox_copy(spark: SparkSession, sf: str) -> DataFrame:
+    """The schema of the fleet into an empty graph: every statement about no individual."""
     g = fleet(spark, sf)
-    return graph.copy_tbox(g, g.where(F.col("p") != RDF_TYPE)).select("s", "p", "o")
+    return graph.copy_tbox(g, graph.empty_graph(spark)).select("s", "p", "o").distinct()
 
 
 @query(f"""SELECT kind, local_name, CASE WHEN kind = 'datatype' THEN regexp_extract(range_iri, '[^#/]*$') END AS range_local FROM tbox""")
@@ -145,7 +146,8 @@ def tbox_summary(spark: SparkSession, sf: str) -> DataFrame:
     return graph.tbox_summary(fleet(spark, sf), FLEET)
 
 
-@query(f"SELECT '{FLEET}' AS namespace, count(*) AS n FROM tbox WHERE kind = 'class'")
+@query(f"""WITH {_G}, c AS (SELECT DISTINCT s FROM g WHERE p = '{RDF_TYPE}' AND o = '{OWL}Class'), n AS (SELECT CASE WHEN s LIKE '%#%' THEN regexp_extract(s, '^(.*#)', 1) ELSE regexp_extract(s, '^(.*/)', 1) END AS namespace, count(*) AS n FROM c GROUP BY 1)
+SELECT namespace, n FROM n ORDER BY n DESC, namespace LIMIT 1""")
 def namespace_tbox(spark: SparkSession, sf: str) -> DataFrame:
     return graph.tbox_namespace(fleet(spark, sf))
 
@@ -351,7 +353,7 @@ def rules_sum(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {_FACTS} SELECT p.rule_id, p.object, regexp_extract(coalesce(p.object, p.subject), '[^#/]*$') || ' · ' || attribute || ' = ' || p.value || coalesce(' ' || unit, '') AS source_ref
-FROM pairs p JOIN rules USING (rule_id) WHERE violated AND p.rule_id <> 'r2'""")
+FROM pairs p JOIN rules USING (rule_id) WHERE violated""")
 def rule_source_refs(spark: SparkSession, sf: str) -> DataFrame:
     v = rules_pairs(spark, sf).where("violated")
     return rules.source_refs(v, rule_table(spark)).select("rule_id", "object", "source_ref")
@@ -437,8 +439,8 @@ def outcome_scores(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.outcome_prf(d.join(j, "candidate_id").select("arm", outcome.alias("outcome")), ["arm"])
 
 
-# Alignment over the mentions of `entities`.
-_STOP = "(" + ", ".join(f"'{w}'" for w in T.ACRONYM_STOP_WORDS) + ")"
+# Alignment over the mentions of `entities`. The words that acronyms leave out are written here on their own.
+_STOP = "('a', 'an', 'and', 'as', 'at', 'by', 'for', 'from', 'in', 'of', 'on', 'or', 'the', 'to', 'with')"
 
 
 def _initials_sql(c: str) -> str:
@@ -540,12 +542,40 @@ def _conflict_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_CONFLICTS, "arm string, ix int, subject string, object string, conflict_type string")
 
 
-@query()
+def _iri_sim_sql(a: str, b: str) -> str:
+    x, y = _CAMEL.format(c=a), _CAMEL.format(c=b)
+    bare = lambda c: f"lower(regexp_replace({c}, '[_\\-\\s]+', '', 'g'))"
+    return f"""CASE WHEN {bare(a)} = {bare(b)} OR (length({a}) BETWEEN 2 AND 8 AND upper({a}) = {_initials_sql(y)}) OR (length({b}) BETWEEN 2 AND 8 AND upper({b}) = {_initials_sql(x)}) THEN 1.0
+  WHEN len(list_intersect({_tokens_sql(x)}, {_tokens_sql(y)})) = 0 THEN 0.0 ELSE len(list_intersect({_tokens_sql(x)}, {_tokens_sql(y)})) / len(list_distinct(list_concat({_tokens_sql(x)}, {_tokens_sql(y)}))) END"""
+
+
+def _class_sim_sql(cls: str, instance: str, short: str) -> str:
+    return f"""CASE WHEN coalesce({cls}, '') = '' OR coalesce({instance}, '') = '' THEN 0.0 ELSE greatest({_iri_sim_sql(cls, instance)}, {_iri_sim_sql(cls, short)},
+  CASE WHEN starts_with(lower({short}), lower({cls})) OR starts_with(lower({cls}), lower({short})) THEN 1.0 ELSE 0.0 END) END"""
+
+
+_CONFLICT_SCORES = f"""{_values(_RULES, 'rules', _RULE_COLUMNS)}, {_values(_CONFLICTS, 'cf', 'arm, ix, subject, object, conflict_type')},
+cn AS (SELECT *, coalesce(nullif(regexp_replace(regexp_replace(subject, '[0-9]+$', ''), '([a-z])[A-Z]$', '\\1'), ''), subject) AS s_short, coalesce(nullif(regexp_replace(regexp_replace(object, '[0-9]+$', ''), '([a-z])[A-Z]$', '\\1'), ''), object) AS o_short FROM cf),
+cs AS (SELECT arm, ix, rule_id, attribute, conflict_type, expected_violated, substr(rule_id, 2)::INT AS ord,
+  {_class_sim_sql('subject_type', 'subject', 's_short')} AS ss, {_class_sim_sql('object_type', 'object', 'o_short')} AS oo, {_class_sim_sql('subject_type', 'object', 'o_short')} AS so, {_class_sim_sql('object_type', 'subject', 's_short')} AS os FROM cn CROSS JOIN rules),
+scored AS (SELECT arm, ix, rule_id, ord, expected_violated, CASE WHEN contains(conflict_type, attribute) THEN 0.5 + 0.5 * greatest((ss + oo) / 2, (so + os) / 2) ELSE 0.6 * greatest((ss + oo) / 2, (so + os) / 2) END::DOUBLE AS score FROM cs),
+near_ AS (SELECT * FROM scored WHERE score >= 0.40)""".replace("\\\\", "\\")
+
+
+@query(f"WITH {_CONFLICT_SCORES} SELECT arm, ix, rule_id, round(score, 6) AS score FROM near_")
 def conflict_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return conflicts.conflict_scores(_conflict_table(spark), rule_table(spark)).select("arm", "ix", "rule_id", F.round("score", 6).alias("score"))
 
 
-@query()
+# The greedy order taken one pair at a time: violated rules first, then what they left for the others.
+@query(f"""WITH RECURSIVE {_CONFLICT_SCORES},
+hard AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY expected_violated DESC, score DESC, ord, ix) AS n FROM near_),
+step(arm, n, ixs, rids, got) AS (SELECT DISTINCT arm, 0::BIGINT, []::INT[], []::VARCHAR[], []::VARCHAR[] FROM cf
+  UNION ALL SELECT step.arm, hard.n, CASE WHEN list_contains(ixs, hard.ix) OR list_contains(rids, hard.rule_id) THEN ixs ELSE list_append(ixs, hard.ix) END,
+    CASE WHEN list_contains(ixs, hard.ix) OR list_contains(rids, hard.rule_id) THEN rids ELSE list_append(rids, hard.rule_id) END, got FROM step JOIN hard ON hard.arm = step.arm AND hard.n = step.n + 1),
+last_ AS (SELECT arm, max_by(ixs, n) AS ixs, max_by(rids, n) AS rids FROM step GROUP BY 1)
+SELECT arm, rule_id, CASE WHEN expected_violated THEN CASE WHEN list_contains(rids, rule_id) THEN 'TP' ELSE 'FN' END ELSE CASE WHEN list_contains(rids, rule_id) THEN 'FP' ELSE 'TN' END END AS outcome,
+  CASE WHEN list_contains(rids, rule_id) THEN ixs[list_position(rids, rule_id)] END AS matched_ix FROM last_ CROSS JOIN rules""")
 def conflict_match(spark: SparkSession, sf: str) -> DataFrame:
     return conflicts.score_rules(_conflict_table(spark), rule_table(spark)).select("arm", "rule_id", "outcome", "matched_ix")
 
@@ -558,10 +588,16 @@ def anchor_map(spark: SparkSession, sf: str) -> DataFrame:
     return synthesis.anchor_map(graph.to_delta(fleet(spark, sf)).select("id").distinct())
 
 
-@query()
+def _label_sql(c: str) -> str:
+    return rf"trim(regexp_replace(replace(regexp_replace(regexp_extract({c}, '[^#:/]*$'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '_', ' '), '\s+', ' ', 'g'))"
+
+
+@query(rf"""WITH {_G}, {_I}, d AS (SELECT DISTINCT {_ID} AS id, s, p, o FROM g WHERE s IN (SELECT s FROM ind)), m AS (SELECT id, format('[T-{{:03d}}]', row_number() OVER (ORDER BY id)) AS anchor FROM d GROUP BY id)
+SELECT s, min(id) AS section_ix, {_label_sql('s')} AS title, string_agg({_label_sql('s')} || ': ' || {_label_sql('p')} || ' is ' || CASE WHEN o LIKE 'http%' THEN regexp_extract(o, '[^#/]*$') ELSE o END || ' ' || anchor || '.', ' ' ORDER BY id, p, o) AS paragraph
+FROM d JOIN m USING (id) GROUP BY s""")
 def synthesized_sections(spark: SparkSession, sf: str) -> DataFrame:
-    d = graph.to_delta(fleet(spark, sf)).select("id", "s", "p", "o").distinct().withColumn("ord", F.xxhash64("id"))
-    return synthesis.template_sections(d, synthesis.anchor_map(d.select("id")))
+    d = graph.to_delta(fleet(spark, sf)).select("id", "s", "p", "o").distinct().withColumn("ord", F.col("id"))
+    return synthesis.template_sections(d, synthesis.anchor_map(d.select("id").distinct()))
 
 
 _CHECKS = r"""k AS (SELECT DISTINCT chunk_id AS doc_id, a.name AS p, a.value AS o FROM (SELECT chunk_id, unnest(attributes) AS a FROM entities) WHERE a.value IS NOT NULL AND a.name IS NOT NULL),
@@ -676,9 +712,20 @@ def font_mode(spark: SparkSession, sf: str) -> DataFrame:
     return documents.body_sizes(_spans(spark))
 
 
-@query()
+@query(rf"""WITH {_values(_SPANS, 'sp', _SPAN_COLUMNS)}, n AS (SELECT doc, round(size, 1) AS size, count(*) AS n, min((page, block, line, span)) AS place FROM sp WHERE page <= 5 AND round(size, 1) > 4 GROUP BY 1, 2),
+b AS (SELECT d.doc, coalesce((SELECT size FROM n WHERE n.doc = d.doc ORDER BY n DESC, place LIMIT 1), 10.0)::DOUBLE AS body FROM (SELECT DISTINCT doc FROM sp) d),
+l AS (SELECT doc, page, block, line, trim(string_agg(text, '' ORDER BY span)) AS text, arg_max(struct_pack(size := size, bold := bold), (size, -span)) AS w FROM sp GROUP BY 1, 2, 3, 4),
+v AS (SELECT l.*, CASE WHEN text = '' OR length(text) > 120 THEN NULL WHEN w.size / body >= 1.4 THEN 1 WHEN w.size / body >= 1.2 THEN 2 WHEN w.size / body >= 1.05 AND w.bold THEN 3
+  WHEN w.bold AND regexp_matches(text, '^[0-9]+(\.[0-9]+)*\s') AND length(text) < 80 THEN 3 END AS level FROM l JOIN b USING (doc)),
+k AS (SELECT doc, page, block, arg_min(level, line) FILTER (WHERE level IS NOT NULL) AS level, trim(string_agg(text, ' ' ORDER BY line)) AS text FROM v GROUP BY 1, 2, 3),
+g AS (SELECT doc, page, string_agg(CASE WHEN level IS NULL THEN '' ELSE repeat('#', level) || ' ' END || text || chr(10) || chr(10), '' ORDER BY block) AS t FROM k WHERE text <> '' GROUP BY 1, 2),
+o AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS first FROM g)
+SELECT doc, string_agg(t, '' ORDER BY page) AS markdown, string_agg(page || ':' || first || '-' || (first + length(t)), ' ' ORDER BY page) AS pages FROM o GROUP BY 1""")
 def layout_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.blocks_to_documents(documents.spans_to_blocks(_spans(spark)))
+    """Markdown of laid-out pages; the characters of each page as text."""
+    got = documents.blocks_to_documents(documents.spans_to_blocks(_spans(spark)))
+    page = F.transform("page_map", lambda x: F.concat(x["page"].cast("string"), F.lit(":"), x["char_start"].cast("string"), F.lit("-"), x["char_end"].cast("string")))
+    return got.select("doc", "markdown", F.array_join(page, " ").alias("pages"))
 
 
 # Taxonomy and generated systems.
@@ -691,7 +738,9 @@ def class_closure(spark: SparkSession, sf: str) -> DataFrame:
     return generate.class_closure(generate.taxonomy(spark))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_values(_CLASSES, 'cl', 'local, parent')}, {_values(tuple((c.local, d) for c in generate.taxonomy_classes() for d in c.domains), 'dm', 'local, domain')},
+up(child, ancestor) AS (SELECT local, parent FROM cl WHERE parent IS NOT NULL UNION SELECT child, parent FROM up JOIN cl ON ancestor = local WHERE parent IS NOT NULL)
+SELECT child AS local FROM up WHERE ancestor = 'Component' AND child NOT IN (SELECT parent FROM cl WHERE parent IS NOT NULL) AND child IN (SELECT local FROM dm WHERE domain = 'orbit')""")
 def concrete_components(spark: SparkSession, sf: str) -> DataFrame:
     return generate.concrete(generate.taxonomy(spark), "Component", "orbit")
 
@@ -726,18 +775,22 @@ def iri_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT status, count(*) AS n, count(DISTINCT candidate_id) AS n_candidates FROM align_decisions GROUP BY 1")
 def status_flow(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "align_decisions").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("candidate_id").alias("n_candidates"))
+    return align.status_counts(table(spark, sf, "align_decisions"))
 
 
 @query("""WITH l AS (SELECT candidate_id, arg_max(status, {'d': decided_at, 'o': ord}) AS status FROM align_decisions GROUP BY 1) SELECT DISTINCT c.id, CASE WHEN l.status IS NULL THEN 'proposed' ELSE l.status END AS status FROM align_candidates c LEFT JOIN l ON l.candidate_id = c.id""")
 def review_join(spark: SparkSession, sf: str) -> DataFrame:
-    last = table(spark, sf, "align_decisions").groupBy(F.col("candidate_id").alias("id")).agg(F.max_by("status", F.struct("decided_at", "ord")).alias("status"))
-    return table(spark, sf, "align_candidates").select("id").distinct().join(last, "id", "left").select("id", F.coalesce("status", F.lit("proposed")).alias("status"))
+    """The candidates as a proposed delta, the decisions as its reviews in order of their time."""
+    none = F.lit(None).cast("string")
+    delta = table(spark, sf, "align_candidates").select("id", F.lit("proposed").alias("status"), none.alias("o")).distinct()
+    action = F.when(F.col("status") == "approved", "approve").when(F.col("status") == "rejected", "reject").otherwise("skip")
+    reviews = table(spark, sf, "align_decisions").select(F.col("candidate_id").alias("id"), action.alias("action"), none.alias("new_object"), F.col("reviewer_note").alias("note"), F.struct("decided_at", "ord").alias("ord"))
+    return pipelines.review(delta, reviews).select("id", "status")
 
 
 @query("SELECT entity_type, count(*) AS n FROM entities WHERE entity_type IS NOT NULL GROUP BY 1")
 def entities_by_type(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "entities").where(F.col("entity_type").isNotNull()).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+    return align.counts_by(table(spark, sf, "entities"), "entity_type")
 
 
 @query()
@@ -753,10 +806,11 @@ def mapped_delta(spark: SparkSession, sf: str) -> DataFrame:
     return llm_functions.map_entities(table(spark, sf, "entities").distinct(), get_provider, KG)
 
 
-@query("SELECT sum(length(text) // 4)::BIGINT AS about FROM (SELECT DISTINCT id, text FROM chunks WHERE length(text) >= 30)")
+@query("SELECT artifact_id, sum(length('{\"text\":' || to_json(text)::VARCHAR || '}') // 4)::BIGINT AS input_tokens, 0::BIGINT AS output_tokens FROM (SELECT DISTINCT id, artifact_id, text FROM chunks WHERE length(text) >= 30) GROUP BY 1")
 def token_usage(spark: SparkSession, sf: str) -> DataFrame:
-    c = documents.eligible(table(spark, sf, "chunks").select("id", "text").distinct())
-    return c.agg(F.sum(F.floor(F.length("text") / 4)).alias("about"))
+    """What asking for extraction cost by artifact; the offline provider counts a token for four characters of the request."""
+    c = documents.eligible(table(spark, sf, "chunks").select("id", "artifact_id", "text").distinct())
+    return llm_functions.token_usage(llm_functions.ask(c, "extract", {"text": "text"}, get_provider), ["artifact_id"])
 
 
 @query(f"""WITH {_DELTA} SELECT DISTINCT new AS s, 'http://www.w3.org/2004/02/skos/core#altLabel' AS p, regexp_extract(old, '[^#/]*$') AS o FROM rw""")
@@ -795,13 +849,73 @@ def graph_sha256(spark: SparkSession, sf: str) -> DataFrame:
     return pipelines.graph_hash(fleet(spark, sf))
 
 
-@query(f"""WITH {_IMPACT_SQL}, c AS (SELECT h.scenario_id, (SELECT count(*) FROM hit x WHERE x.scenario_id = h.scenario_id) AS p, (SELECT count(DISTINCT lower(rule_id)) FROM truth t WHERE t.scenario_id = h.scenario_id) AS t,
-  (SELECT count(*) FROM hit x JOIN (SELECT DISTINCT scenario_id, lower(rule_id) AS r FROM truth) y ON y.scenario_id = x.scenario_id AND y.r = x.rule_id WHERE x.scenario_id = h.scenario_id) AS h FROM (SELECT DISTINCT scenario_id FROM hit) h)
-SELECT scenario_id, 'ontology' AS winner FROM c""")
+# Sentences for the document arm: they break r1 in every scenario.
+_SAID = (("t1", "Supplier One of Nation Seven has an acctBal of -12.5 USD."), ("t2", "Customer Two shows an acctBal of 500 USD."), ("t3", "The Part list is complete."))
+
+
+@query(f"""WITH {_IMPACT_SQL}, arms AS (SELECT scenario_id, 'ontology' AS arm, rule_id FROM hit UNION ALL SELECT scenario_id, 'document', 'r1' FROM (SELECT DISTINCT scenario_id FROM ch)),
+y AS (SELECT DISTINCT scenario_id, lower(rule_id) AS r FROM truth),
+c AS (SELECT scenario_id, arm, count(*) AS p, (SELECT count(*) FROM y WHERE y.scenario_id = a.scenario_id) AS t, count(CASE WHEN EXISTS (SELECT 1 FROM y WHERE y.scenario_id = a.scenario_id AND y.r = a.rule_id) THEN 1 END) AS h FROM arms a GROUP BY 1, 2),
+f AS (SELECT *, round(coalesce(2.0 * h / nullif(p + t, 0), 0.0)::DOUBLE, 4) AS f1 FROM c)
+SELECT scenario_id, CASE WHEN count(*) = 1 OR min(f1) < max(f1) THEN arg_max(arm, f1) END AS winner FROM f GROUP BY 1""")
 def impact_winner(spark: SparkSession, sf: str) -> DataFrame:
+    """The better arm of each scenario: rules on the changed graph, or on documents that do not change."""
     changes = spark.createDataFrame(_IMPACT, "scenario_id string, s string, p string, new_value string")
     truth = spark.createDataFrame(_TRUTH, "scenario_id string, rule_id string")
-    return pipelines.analyze_impact(_each(spark), relational(spark, sf), changes, truth)["winners"]
+    texts = spark.createDataFrame(_SAID, "doc_id string, text string")
+    asked = _each(spark).withColumn("plain_english", F.concat(F.lit("Is the "), "attribute", F.lit(" as it should be?")))
+    return pipelines.analyze_impact(asked, relational(spark, sf), changes, truth, texts, get_provider)["winners"]
+
+
+@query()
+def document_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts of the document arm over the chunks: each stated mass, power and voltage against a limit."""
+    limits = spark.createDataFrame([("m1", "mass", ">", "500"), ("m2", "power", ">=", "1000"), ("m3", "voltage", "<", "5")], "rule_id string, attribute string, operator string, value string")
+    none = F.lit(None).cast("string")
+    asked = limits.select("*", none.alias("subject_type"), none.alias("object_type"), F.lit("is it within its limit?").alias("plain_english"))
+    texts = table(spark, sf, "chunks").where(F.col("text").isNotNull()).select(F.col("id").alias("doc_id"), "text").distinct()
+    return pipelines.check_document_rules(asked, texts, get_provider).select("doc_id", "rule_id", "object", "subject", "value", "violated")
+
+
+@query()
+def discovered_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules proposed for the individuals of the relational graph, by the offline provider."""
+    return llm_functions.discover_rules(graph.conflict_bags(relational(spark, sf), KG), get_provider)
+
+
+@query()
+def direct_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Conflicts that texts state themselves, in one step."""
+    texts = table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
+    return llm_functions.direct_conflicts(texts, get_provider)
+
+
+@query(f"""WITH {_G}, {_I}, d AS (SELECT DISTINCT {_ID} AS id, s, p, o FROM g WHERE s IN (SELECT s FROM ind)), m AS (SELECT id, format('[T-{{:03d}}]', row_number() OVER (ORDER BY id)) AS anchor FROM (SELECT DISTINCT id FROM d)),
+n AS (SELECT s, id, anchor, row_number() OVER (PARTITION BY s ORDER BY id, p, o) - 1 AS k FROM d JOIN m USING (id))
+SELECT s AS doc_id, k AS paragraph_index, anchor AS citation, id AS triple_id FROM n""")
+def section_provenance(spark: SparkSession, sf: str) -> DataFrame:
+    """The triples that the paragraphs of synthesized documents cite: a document per individual, a paragraph per fact."""
+    d = graph.to_delta(fleet(spark, sf)).select("id", "s", "p", "o").distinct().withColumn("ord", F.col("id"))
+    anchors = synthesis.anchor_map(d.select("id").distinct())
+    sections = synthesis.ask_sections(d, anchors, get_provider).select(F.col("s").alias("doc_id"), F.lit(0).alias("section_ix"), "paragraphs")
+    cited = synthesis.provenance(synthesis.paragraphs(sections), anchors)
+    return cited.select("doc_id", "paragraph_index", F.col("citation_anchors")[0].alias("citation"), F.col("triple_ids")[0].alias("triple_id"))
+
+
+@query(f"WITH {_G} SELECT DISTINCT s, s_kind, p, o, o_kind, o_datatype, o_lang FROM g")
+def ntriples_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The fleet graph written as N-Triples and read again."""
+    path = scratch(spark, "nt")
+    save_graph(fleet(spark, sf), path, "nt")
+    return read_ntriples(spark, path)
+
+
+@query(f"WITH {_G} SELECT DISTINCT s, s_kind, p, o, o_kind, o_datatype, o_lang FROM g WHERE s_kind <> 'bnode' AND o_kind <> 'bnode'")
+def turtle_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The fleet graph without blank nodes, whose labels are a document's own, written as Turtle documents and read again."""
+    path = scratch(spark, "ttl")
+    save_graph(graph.statements(fleet(spark, sf)), path, "turtle", {"kg": FLEET}, 8)
+    return load_graph(spark, path, "turtle")
 
 
 _FOUND_RULES = (("d1", "Nation_1", "Supplier_1", "acctBal", ">", "-1000"), ("d2", "Nation_1", "Supplier_2", "acctBal", "<", "-99999"), ("d3", "Customer_3", None, "segment", "!=", "none"), ("d4", "Nation_1", "Nobody", "acctBal", ">", "0"))

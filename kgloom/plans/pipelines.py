@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.functions.lexical import RDF_TYPE, XSD
+from kgloom.functions.lexical import OWL, RDF_TYPE, RDFS, XSD, local_name, with_canonical
 from kgloom.functions.text import compare, looks_like_iri, object_kind
 from kgloom.operators import align, conflicts, documents, evaluate, graph, rules
 from kgloom.operators.graph import FIELDS
@@ -154,6 +154,65 @@ def detect_conflicts(triples: DataFrame, namespace: str, discovered: DataFrame)
     return placed.select(F.lit("ontology").alias("arm"), F.col("ord").cast("int").alias("ix"), "subject", "object", F.concat_ws("_", "attribute", "operator", F.lit("threshold")).alias("conflict_type"), F.concat("attribute", F.lit(" = "), "stated").alias("evidence"))
 
 
+def document_conflicts(texts: DataFrame, factory: Factory) -> DataFrame:
+    """arm, ix, subject, object, conflict_type, evidence of conflicts that documents state, in one step."""
+    placed = numbered(llm_functions.direct_conflicts(texts, factory), "doc_id", "subject", "object", "conflict_type", "evidence")
+    return placed.select(F.lit("document").alias("arm"), F.col("ord").cast("int").alias("ix"), "subject", "object", "conflict_type", "evidence")
+
+
+def find_conflicts(factory: Factory, triples: DataFrame | None = None, namespace: str = "", texts: DataFrame | None = None, proposed: DataFrame | None = None) -> DataFrame:
+    """Conflicts of the ontology arm (rules proposed for the graph, or given ones, and who breaks them), the document arm, or both."""
+    arms = []
+    if triples is not None:
+        rules_ = llm_functions.discover_rules(graph.conflict_bags(triples, namespace), factory) if proposed is None else proposed
+        arms.append(detect_conflicts(triples, namespace, cut(rules_)))
+    if texts is not None:
+        arms.append(document_conflicts(texts, factory))
+    if not arms:
+        raise ValueError("a graph or documents are needed")
+    return arms[0] if len(arms) == 1 else arms[0].unionByName(arms[1])
+
+
+def run(raw: DataFrame, tbox: DataFrame, factory: Factory, namespace: str, rule_table: DataFrame | None = None, changes: DataFrame | None = None, truth: DataFrame | None = None, reviews: DataFrame | None = None, rounds: int = 2) -> dict[str, DataFrame]:
+    """Documents to a working graph under a schema, with rules and impact: the end-to-end workload.
+
+    The delta is reviewed (all proposals are approved without reviews), validated against the schema, and what
+    breaks it is rejected and validated again, ``rounds`` times at most. Gives what :func:`ingest` gives and
+    ``reviewed``, ``rejected``, ``graph``, and with rules ``verdicts``, with changes ``scores`` and ``winners``.
+    """
+    made = ingest(raw, factory, namespace, [r[0] for r in graph.tbox_summary(tbox, namespace).where(F.col("kind") == "class").select("local_name").orderBy("local_name").collect()])
+    reviewed = cut(approve(made["delta"]) if reviews is None else review(made["delta"], reviews))
+    rejected = None
+    for _ in range(rounds):
+        wrong = cut(invalid(reviewed, tbox))
+        if wrong.isEmpty():
+            break
+        rejected = wrong if rejected is None else rejected.unionByName(wrong)
+        bad = wrong.select("id", F.lit("rejected").alias("__s")).distinct()
+        reviewed = cut(reviewed.join(small_side(bad), "id", "left").withColumn("status", F.coalesce("__s", "status")).drop("__s"))
+    out = {**made, "reviewed": reviewed, "rejected": invalid(reviewed, tbox).limit(0) if rejected is None else rejected, "graph": cut(working_graph(tbox, reviewed))}
+    if rule_table is not None:
+        out["verdicts"] = check_rules(rule_table, out["graph"])
+        if changes is not None and truth is not None:
+            out |= {k: v for k, v in analyze_impact(rule_table, out["graph"], changes, truth).items() if k in ("scores", "winners")}
+    return out
+
+
+def invalid(entries: DataFrame, tbox: DataFrame) -> DataFrame:
+    """id, s, p, o, reason: approved entries that the schema contradicts.
+
+    A literal of a datatype property that is not valid for its range; an object property with a literal. Properties that the schema lacks are new, not wrong.
+    """
+    kinds = tbox.where((F.col("p") == RDF_TYPE) & F.col("o").isin(OWL + "DatatypeProperty", OWL + "ObjectProperty")).groupBy(F.col("s").alias("p")).agg(F.max(F.col("o") == OWL + "DatatypeProperty").alias("is_data"))
+    ranges = tbox.where(F.col("p") == RDFS + "range").groupBy(F.col("s").alias("p")).agg(F.min(local_name(F.col("o"))).alias("range_local"))
+    known = kinds.join(ranges, "p", "left")
+    ok = entries.where(F.col("status") == "approved").select("id", "s", "p", "o", "o_datatype", "o_lang").join(small_side(known), "p")
+    read = with_canonical(ok.withColumn("__r", F.coalesce("range_local", F.lit("string"))), "o", "__r", "__x")
+    kind = object_kind(F.col("o"), F.col("o_datatype"), F.col("o_lang"))
+    reason = F.when(F.col("is_data") & F.col("__x").isNull(), F.concat(F.lit("not valid for "), F.col("__r"))).when(~F.col("is_data") & F.col("o_datatype").isNotNull() & (kind == "literal"), "a literal for an object property")
+    return read.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("id", "s", "p", "o", "reason")
+
+
 def score_conflicts(found: DataFrame, rule_table: DataFrame) -> dict[str, DataFrame]:
     """scores per rule, prf per arm, and the conflicts that no rule explains."""
     scores = cut(conflicts.score_rules(found, rule_table))

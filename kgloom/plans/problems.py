@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.operators import reconcile, units, wide
-from kgloom.session import table
+from kgloom.session import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,19 +17,38 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return units.measured_attributes(table(spark, sf, "entities")).select("entity_id", "attr_ix", "value_milli")
 
 
+def p2_units(spark: SparkSession, sf: str) -> DataFrame:
+    """All quantities, with whether another reading of the text would fit the record as well."""
+    return units.measured_attributes(table(spark, sf, "entities"))
+
+
+def p2_record_units(spark: SparkSession, sf: str) -> DataFrame:
+    """The units that records mean, by the least log residuals against what their texts state."""
+    got = units.record_units(table(spark, sf, "entities"))
+    return got.withColumn("rms", F.round("rms", 4))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.differences(table(spark, sf, "triples"), table(spark, sf, "triples_copy"), "triple_id", ["s", "p", "o"], ("only_live", "only_copy"))
 
 
+def _store(spark: SparkSession, sf: str) -> wide.WideStore:
+    """The triples as a store of one run per month of loading."""
+    store = wide.WideStore(spark, scratch(spark, "wide"), wide.datatype_properties(table(spark, sf, "tbox")))
+    store.upsert(table(spark, sf, "triples"), F.coalesce(F.date_format("loaded_at", "yyyy-MM"), F.lit("undated")))
+    return store
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    properties = wide.datatype_properties(table(spark, sf, "tbox"))
-    return wide.cells(wide.compact([wide.wide_delta(table(spark, sf, "triples"), properties)]), properties)
+    store = _store(spark, sf)
+    return wide.cells(store.merged(), store.properties)
 
 
 def p6_wide(spark: SparkSession, sf: str) -> DataFrame:
-    """The wide table itself, with typed columns."""
-    properties = wide.datatype_properties(table(spark, sf, "tbox"))
-    return wide.typed(wide.compact([wide.wide_delta(table(spark, sf, "triples"), properties)]), properties)
+    """The wide table itself, with typed columns; dates, numbers and what is beyond their types as text for comparison."""
+    store = _store(spark, sf)
+    got = store.read()
+    return got.select(*[F.col(c).cast("string").alias(c) if t.startswith("decimal") else F.col(c) for c, t in got.dtypes if c != "beyond"], F.map_keys("beyond").alias("beyond"))
 
 
 P3_SQL = """
@@ -80,7 +99,7 @@ FROM texts WHERE value_text IS NOT NULL AND subject_local <> '' GROUP BY 1, 2
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_wide": p6_wide}
+    return {"p2_found": p2_found, "p2_units": p2_units, "p2_record_units": p2_record_units, "p3_found": p3_found, "p6_found": p6_found, "p6_wide": p6_wide}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,6 +23,8 @@ from kgloom.session import small_side
 
 ENTITIES = "array<struct<text_span:string,entity_type:string,confidence:double,attributes:array<struct<name:string,raw_text:string,value:string,unit:string>>,relationships:array<struct<predicate:string,target:string,raw_text:string>>>>"
 MAPPED = "struct<subject:string,cls:string,description:string,triples:array<struct<predicate:string,object:string,datatype:string>>>"
+RULES = "array<struct<subject:string,object:string,attribute:string,operator:string,value:string,reason:string>>"
+CONFLICTS = "array<struct<subject:string,object:string,conflict_type:string,evidence:string>>"
 STATEMENTS = "array<struct<subject:string,object:string,value:string,quote:string>>"
 SYSTEM = {
     "extract": "List the things that the text names, with their measured attributes and relations, as JSON.",
@@ -32,7 +34,8 @@ SYSTEM = {
     "plain_english": "State the rule in everyday words without its numbers, as JSON.",
     "check_document": "List every value that the text states for this attribute, with the names of the subject and, if it has a type, the object, and the sentence, as JSON.",
     "extract_direct": "List all statements of the text as subject, class, property and value, as JSON.",
-    "discover_rules": "Propose rules that the individuals should obey, as JSON.",
+    "discover_rules": "Propose rules that the individuals should obey, each with subject, object, attribute, operator, value and reason, as JSON.",
+    "direct_conflicts": "List every conflict that the text states or shows, with subject, object, type and the sentence, as JSON.",
 }
 
 
@@ -133,5 +136,28 @@ def extract_direct(documents: DataFrame, factory: Callable[[], Provider], classe
     return got.select("doc_id", F.inline(F.from_json(F.get_json_object("answer", "$.triples"), "array<struct<subject:string,cls:string,property:string,value:string>>")))
 
 
+def discover_rules(bags: DataFrame, factory: Callable[[], Provider], batch: int = 500) -> DataFrame:
+    """rule_id, subject, object, attribute, operator, value, reason: rules that a provider proposes for individuals.
+
+    ``bags``: s and props (a map of texts), as of ``graph.conflict_bags``. Individuals are asked about in
+    batches of about ``batch``, by a hash of their name, so a request is bounded and batches are asked in
+    parallel. Rules without attribute, operator or value are left out; the same rule counts once.
+    """
+    n = bags.count()
+    who = F.regexp_extract("s", r"[^#/]*\z", 0)
+    known = bags.groupBy(F.pmod(F.xxhash64("s"), F.lit(max(1, -(-n // batch)))).alias("part")).agg(F.array_sort(F.collect_list(F.struct(who.alias("name"), F.to_json("props").alias("facts")))).alias("individuals"))
+    got = raise_errors(ask(known, "discover_rules", {"individuals": "individuals"}, factory, max_tokens=8192))
+    rules = got.select(F.explode(F.from_json(F.get_json_object("answer", "$.rules"), RULES)).alias("r")).select("r.*")
+    whole = rules.where(F.col("attribute").isNotNull() & F.col("operator").isin(">", "<", ">=", "<=", "==", "!=") & F.col("value").isNotNull() & F.coalesce("object", "subject").isNotNull())
+    names = ("subject", "object", "attribute", "operator", "value")
+    return whole.groupBy(*names).agg(F.min("reason").alias("reason")).select(short_hash(*[F.col(c) for c in names]).alias("rule_id"), *names, "reason")
+
+
+def direct_conflicts(documents: DataFrame, factory: Callable[[], Provider]) -> DataFrame:
+    """doc_id, subject, object, conflict_type, evidence: conflicts read from whole documents, without a graph."""
+    got = raise_errors(ask(documents.select("doc_id", "text"), "direct_conflicts", {"text": "text"}, factory, max_tokens=8192))
+    return got.select("doc_id", F.inline(F.from_json(F.get_json_object("answer", "$.conflicts"), CONFLICTS))).where(F.col("subject").isNotNull()).distinct()
+
+
 def token_usage(answers: DataFrame, by: list[str]) -> DataFrame:
     return answers.groupBy(*by).agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))

@@ -14,6 +14,7 @@ _NAME = re.compile(r"\b(?:[A-Z][\w-]*\d[\w-]*|[A-Z][a-z]+(?:[A-Z][a-z]+)+|[A-Z][
 
 _VALUE = re.compile(r"(?<![\w.-])(-?(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:[.,]\d+)?)(?:[eE][+-]?\d+)?)(?!(?:st|nd|rd|th)\b)(?:\s?-\s?(\d+(?:\.\d+)?)(?![-\d]))?")
 _THING = re.compile(r"(?<!\w)[A-Z][\w-]*(?:\s+[A-Z][\w-]*)*(?:\s+\d+(?=\s+(?:has|have|had|is|are|was|were|weighs|with|whose)\b))?")
+_CONFLICT = re.compile(r"\b(?:conflicts?|contradicts?|violates?|violation|incompatible|exceeds?|(?:above|below|over|out of|outside) (?:the |its )?(?:limit|range|tolerance|rating|margin))\b", re.I)
 _OPENERS = frozenset("The A An Its It This That These Those Each Every All Both In At On For Of With If When While However Its Total Maximum Minimum".split())
 #: Words that may stand between two values of one attribute.
 _LINKS = frozenset("a an the and or but while whereas that those one of for is are was were has have had to at with it its weighs weigh measures measure reaches reach shows show gives give each about approximately nearly only just up than more less over under between from respectively by in on as well also both".split())
@@ -146,4 +147,33 @@ class RuleProvider:
         return {"triples": rows}
 
     def _discover_rules(self, p: dict[str, Any]) -> dict[str, Any]:
-        return {"rules": p.get("hints", [])}
+        """Numbers far from those of the other individuals of their class: a rule that each breaks."""
+        if "individuals" not in p:
+            return {"rules": p.get("hints", [])}
+        seen: dict[tuple[str, str], list[tuple[float, str]]] = {}
+        for one in p["individuals"]:
+            facts = json.loads(one["facts"])
+            for name, value in facts.items():
+                if name != "rdf_type" and re.fullmatch(r"-?\d+(?:\.\d+)?", value or ""):
+                    seen.setdefault((facts.get("rdf_type", ""), name), []).append((float(value), one["name"]))
+        rules = []
+        for (cls, name), values in sorted(seen.items()):
+            numbers = sorted(v for v, _ in values)
+            if len(numbers) >= 8:
+                low, high = numbers[len(numbers) // 4], numbers[3 * len(numbers) // 4]
+                floor, roof = low - 3 * (high - low), high + 3 * (high - low)
+                for v, who in values:
+                    if not floor <= v <= roof:
+                        rules.append({"subject": who, "object": None, "attribute": name, "operator": ">" if v > roof else "<", "value": f"{roof if v > roof else floor:g}", "reason": f"{name} of {cls} lies between {floor:g} and {roof:g}"})
+        return {"rules": rules}
+
+    def _direct_conflicts(self, p: dict[str, Any]) -> dict[str, Any]:
+        """Sentences that say so, with the first two names in them."""
+        out = []
+        for sentence in re.split(r"(?<=[.!?])\s+|\n+", p["text"]):
+            m = _CONFLICT.search(sentence)
+            if m:
+                names = list(dict.fromkeys(_NAME.findall(sentence)))
+                if names:
+                    out.append({"subject": names[0], "object": names[1] if len(names) > 1 else None, "conflict_type": re.sub(r"\W+", "_", m[0].lower()), "evidence": sentence.strip()})
+        return {"conflicts": out}

@@ -64,13 +64,24 @@ _BASES: set[str] = set()
 
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        target, fs = hadoop_path(spark, path)
+        fs.delete(target, True)
     except Exception:  # the session has ended; nothing more can be removed through it
         pass
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """The path and its file system, whatever storage it names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder of any storage, in order; none where there is no such folder."""
+    target, fs = hadoop_path(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a table in the shared folder and forget how it was made.
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import posixpath
 from typing import Any
+from urllib.parse import unquote
 
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions.text import expand_datatype, object_kind, resolve_iri, short_hash
 from kgloom.operators.documents import markdown, text_to_markdown
+from kgloom.session import children, hadoop_path
 
 SUFFIXES = (".pdf", ".txt", ".text", ".md", ".markdown")
 RULES = "ord int, rule_id string, name string, namespace string, subject_type string, object_type string, attribute string, operator string, value string, unit string, consequence string, severity string, note string, plain_english string, expected_violated boolean, aggregate string"
@@ -36,14 +37,18 @@ def with_markdown(raw: DataFrame) -> DataFrame:
 
 
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Raw documents of a file or folder. A missing path or an unknown suffix is an error."""
-    files = [path] if os.path.isfile(path) else [os.path.join(path, f) for f in sorted(os.listdir(path))] if os.path.isdir(path) else None
-    if files is None:
+    """Raw documents of a file or folder on any storage. A missing path, an unknown suffix and a PDF are errors."""
+    target, fs = hadoop_path(spark, path)
+    if not fs.exists(target):
         raise FileNotFoundError(path)
-    bad = [f for f in files if os.path.splitext(f)[1].lower() not in SUFFIXES]
+    files = [target.getName()] if fs.getFileStatus(target).isFile() else children(spark, path)
+    bad = [f for f in files if posixpath.splitext(f)[1].lower() not in SUFFIXES]
     if bad:
         raise ValueError(f"unsupported suffix: {bad[0]}")
-    return with_markdown(spark.read.format("binaryFile").load(path).where(_suffix(F.col("path")) != ".pdf"))
+    pdf = [f for f in files if f.lower().endswith(".pdf")]
+    if pdf:
+        raise ValueError(f"{pdf[0]} is a PDF: give its table of spans to operators.documents.spans_to_blocks")
+    return with_markdown(spark.read.format("binaryFile").load(path))
 
 
 def _yaml(path: str) -> dict[str, Any]:
@@ -93,19 +98,20 @@ def save_artifacts(df: DataFrame, path: str, key: str = "id", kind: str | None =
 
 def load_artifacts(spark: SparkSession, path: str, schema: str, ids: list[str] | None = None) -> DataFrame:
     """Artifacts under a schema; a missing folder has none. Ids prune to their folders."""
-    if not os.path.isdir(path):
+    if not children(spark, path):
         return spark.createDataFrame([], schema)
     df = spark.read.schema(f"{schema}, artifact string").option("mode", "FAILFAST").json(path)
     return (df.where(F.col("artifact").isin(*ids)) if ids is not None else df).drop("artifact")
 
 
-def list_artifacts(path: str) -> list[str]:
-    return sorted(d.split("=", 1)[1] for d in os.listdir(path) if d.startswith("artifact=")) if os.path.isdir(path) else []
+def list_artifacts(spark: SparkSession, path: str) -> list[str]:
+    """Ids of the artifacts in a folder of any storage."""
+    return [unquote(d.split("=", 1)[1]) for d in children(spark, path) if d.startswith("artifact=")]
 
 
 def newest_artifact(spark: SparkSession, path: str) -> str | None:
     """The artifact with the newest file."""
-    if not list_artifacts(path):
+    if not list_artifacts(spark, path):
         return None
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime")
     row = files.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("p")).first()
@@ -122,7 +128,7 @@ def record_change(spark: SparkSession, path: str, version: str, summary: str, ad
 
 
 def load_changelog(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CHANGELOG).parquet(path) if os.path.isdir(path) else spark.createDataFrame([], CHANGELOG)
+    return spark.read.schema(CHANGELOG).parquet(path) if children(spark, path) else spark.createDataFrame([], CHANGELOG)
 
 
 def latest_version(changelog: DataFrame) -> DataFrame:
