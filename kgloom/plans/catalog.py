@@ -849,11 +849,11 @@ def graph_sha256(spark: SparkSession, sf: str) -> DataFrame:
     return pipelines.graph_hash(fleet(spark, sf))
 
 
-# Sentences for the document arm: they break r1 in every scenario.
+# Sentences for the document arm: they break the rules on a balance below zero in every scenario.
 _SAID = (("t1", "Supplier One of Nation Seven has an acctBal of -12.5 USD."), ("t2", "Customer Two shows an acctBal of 500 USD."), ("t3", "The Part list is complete."))
 
 
-@query(f"""WITH {_IMPACT_SQL}, arms AS (SELECT scenario_id, 'ontology' AS arm, rule_id FROM hit UNION ALL SELECT scenario_id, 'document', 'r1' FROM (SELECT DISTINCT scenario_id FROM ch)),
+@query(f"""WITH {_IMPACT_SQL}, arms AS (SELECT scenario_id, 'ontology' AS arm, rule_id FROM hit UNION ALL SELECT scenario_id, 'document', unnest(['r1', 'r10']) FROM (SELECT DISTINCT scenario_id FROM ch)),
 y AS (SELECT DISTINCT scenario_id, lower(rule_id) AS r FROM truth),
 c AS (SELECT scenario_id, arm, count(*) AS p, (SELECT count(*) FROM y WHERE y.scenario_id = a.scenario_id) AS t, count(CASE WHEN EXISTS (SELECT 1 FROM y WHERE y.scenario_id = a.scenario_id AND y.r = a.rule_id) THEN 1 END) AS h FROM arms a GROUP BY 1, 2),
 f AS (SELECT *, round(coalesce(2.0 * h / nullif(p + t, 0), 0.0)::DOUBLE, 4) AS f1 FROM c)
@@ -902,20 +902,24 @@ def section_provenance(spark: SparkSession, sf: str) -> DataFrame:
     return cited.select("doc_id", "paragraph_index", F.col("citation_anchors")[0].alias("citation"), F.col("triple_ids")[0].alias("triple_id"))
 
 
-@query(f"WITH {_G} SELECT DISTINCT s, s_kind, p, o, o_kind, o_datatype, o_lang FROM g")
+# Of a literal with both, its datatype is written.
+_WRITTEN = "s, s_kind, p, o, o_kind, o_datatype, CASE WHEN o_datatype IS NULL THEN o_lang END AS o_lang"
+
+
+@query(f"WITH {_G} SELECT DISTINCT {_WRITTEN} FROM g")
 def ntriples_read(spark: SparkSession, sf: str) -> DataFrame:
     """The fleet graph written as N-Triples and read again."""
     path = scratch(spark, "nt")
     save_graph(fleet(spark, sf), path, "nt")
-    return read_ntriples(spark, path)
+    return read_ntriples(spark, path).distinct()
 
 
-@query(f"WITH {_G} SELECT DISTINCT s, s_kind, p, o, o_kind, o_datatype, o_lang FROM g WHERE s_kind <> 'bnode' AND o_kind <> 'bnode'")
+@query(f"WITH {_G} SELECT DISTINCT {_WRITTEN} FROM g WHERE s_kind <> 'bnode' AND o_kind <> 'bnode'")
 def turtle_read(spark: SparkSession, sf: str) -> DataFrame:
     """The fleet graph without blank nodes, whose labels are a document's own, written as Turtle documents and read again."""
     path = scratch(spark, "ttl")
     save_graph(graph.statements(fleet(spark, sf)), path, "turtle", {"kg": FLEET}, 8)
-    return load_graph(spark, path, "turtle")
+    return load_graph(spark, path, "turtle").distinct()
 
 
 _FOUND_RULES = (("d1", "Nation_1", "Supplier_1", "acctBal", ">", "-1000"), ("d2", "Nation_1", "Supplier_2", "acctBal", "<", "-99999"), ("d3", "Customer_3", None, "segment", "!=", "none"), ("d4", "Nation_1", "Nobody", "acctBal", ">", "0"))
