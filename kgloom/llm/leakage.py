@@ -62,8 +62,14 @@ def ordinary_words(items: DataFrame, text: str = "text", limit: int = MAX_VOCABU
 
 
 def template(word: Column, vocabulary: list[str]) -> Column:
-    """The word itself if it is ordinary, else the placeholder of its type."""
-    return F.when(word.rlike(r"^\p{N}") | word.isin(*NUMBERS), "<number>").when(word.isin(*UNITS), "<unit>").when(word.isin(*vocabulary) if vocabulary else F.lit(False), word).otherwise("<name>")
+    """The word itself if it is ordinary, else the placeholder of its type.
+
+    Most words are in none of the lists, so one look into all of them comes first. A word of letters,
+    marks and digits begins with a plain digit if it is before the colon in the order of code points.
+    """
+    digit = F.when(word < ":", True).when(word >= "\u0080", word.rlike(r"^\p{N}")).otherwise(False)
+    listed = F.when(word.isin(*NUMBERS), "<number>").when(word.isin(*UNITS), "<unit>").otherwise(word)
+    return F.when(word.isin(*{*NUMBERS, *UNITS, *vocabulary}), F.when(digit, "<number>").otherwise(listed)).when(digit, "<number>").otherwise("<name>")
 
 
 def windows(texts: DataFrame, key: str, vocabulary: list[str], text: str = "text", window: int = WINDOW) -> DataFrame:
