@@ -498,8 +498,8 @@ def resolve(surfaces: DataFrame, surface: str = "surface", vocabulary: Vocabular
     """surface, name_id: every different non-null text with the id of the thing that it names.
 
     ``vocabulary`` replaces what :func:`learn` finds in the column (and in ``pairs``). A text of
-    which nothing can be read (blank, or only marks) names only itself. The id is a hash of 128 bits
-    of one of the thing's profiles, the same for the same input. Repeated rows and other columns do not matter.
+    which nothing can be read (blank, or only marks) names only itself. The id is a number, unique
+    within one result. Repeated rows and other columns do not matter.
     """
     texts = cut(surfaces.select(F.col(surface).alias("surface")).where(F.col("surface").isNotNull()).distinct())
     words = vocabulary or learn(texts, pairs)
@@ -515,24 +515,26 @@ def resolve(surfaces: DataFrame, surface: str = "surface", vocabulary: Vocabular
     parsed = cut(parsed.withColumn("profile", same))
     drop(texts)
     first = [F.first(c).alias(c) for c in ("kind", "spelling", "strong")]
-    profiles = cut(parsed.groupBy("profile").agg(*first, F.array_distinct(F.flatten(F.collect_set("weak"))).alias("weak")))
+    different = parsed.groupBy("profile").agg(*first, F.array_distinct(F.flatten(F.collect_set("weak"))).alias("weak"))
+    # Numbers given once and written; they are cheaper to compare and to shuffle than the hashes.
+    profiles = cut(different.withColumn("id", F.monotonically_increasing_id()))
     neighbours = cut(_neighbours(profiles))
-    bags = parsed.where(F.col("bag").isNotNull())
-    least = bags.groupBy("bag").agg(F.min("profile").alias("a"), F.max("profile").alias("z")).where(F.col("a") != F.col("z"))
-    reordered = bags.join(least, "bag").where(F.col("profile") != F.col("a")).select("a", F.col("profile").alias("b"))
-    label = profiles.select("profile", F.col("profile").alias("record"), F.lit(True).alias("moved"))
-    extra, old = reordered, None
+    bags = parsed.where(F.col("bag").isNotNull()).join(profiles.select("profile", "id"), "profile")
+    least = bags.groupBy("bag").agg(F.min("id").alias("a"), F.max("id").alias("z")).where(F.col("a") != F.col("z"))
+    extra: DataFrame | None = bags.join(least, "bag").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"))
+    facts = profiles.select("id", "kind", "spelling", "strong", "weak")
+    now = facts.withColumns({"record": F.col("id"), "moved": F.lit(True)})
     while True:
-        now = cut(profiles.join(label, "profile"))
         links = cut(_links(now, neighbours) if extra is None else _links(now, neighbours).unionAll(extra))
         if links.isEmpty():
             break
         groups = connected_components(links)
         merged = groups.select(F.col("node").alias("record"), F.col("group").alias("__g"))
-        label = cut(now.select("profile", "record").join(merged, "record", "left").select("profile", F.coalesce("__g", "record").alias("record"), F.col("__g").isNotNull().alias("moved")))
-        drop(now, links, groups, old)
-        old, extra = label, None
-    return parsed.select("surface", "profile").join(label, "profile").select("surface", F.col("record").alias("name_id"))
+        after = cut(now.drop("moved").join(merged, "record", "left").select(*facts.columns, F.coalesce("__g", "record").alias("record"), F.col("__g").isNotNull().alias("moved")))
+        drop(now, links, groups)
+        now, extra = after, None
+    named = profiles.select("profile", "id").join(now.select("id", "record"), "id")
+    return parsed.select("surface", "profile").join(named, "profile").select("surface", F.col("record").alias("name_id"))
 
 
 def _neighbours(profiles: DataFrame) -> DataFrame:
