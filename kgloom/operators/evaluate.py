@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.operators.graph import individuals, subject_triples
+from kgloom.session import small_side
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -62,7 +63,7 @@ def rule_set_score(predicted: DataFrame, truth: DataFrame, by: list[str]) -> Dat
     shared = [c for c in by if c in truth.columns]
     b = truth.select(*shared, F.lower("rule_id").alias("rule_id")).where(F.col("rule_id").isNotNull()).distinct()
     groups = predicted.select(*by).distinct()
-    want = groups.join(b, shared) if shared else groups.crossJoin(F.broadcast(b))
+    want = groups.join(b, shared) if shared else groups.join(small_side(b), F.lit(True))
     hits = sides(want, a.where(F.col("rule_id").isNotNull()), [*by, "rule_id"]).groupBy(*by).agg(F.count_if(F.col("in_source") & F.col("in_working")).alias("h"), F.count_if("in_source").alias("t"), F.count_if("in_working").alias("p"))
     full = groups.join(hits, by, "left").select(*by, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("h", "t", "p")])
     return full.select(*by, F.col("p").alias("n_predicted"), F.col("t").alias("n_truth"), *[F.round(c, 4).alias(n) for c, n in zip(prf(F.col("h"), F.col("t"), F.col("p")), ("precision", "recall", "f1"))])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions.lexical import OWL, RDF_TYPE, RDFS, XSD
 from kgloom.functions.text import local_hash_slash, short_hash
+from kgloom.session import cut, small_side
 
 TRIPLE = "s string, s_kind string, p string, o string, o_kind string, o_datatype string, o_lang string"
 FIELDS = ["s", "s_kind", "p", "o", "o_kind", "o_datatype", "o_lang"]
@@ -166,12 +167,17 @@ def apply_changes(graph: DataFrame, changes: DataFrame) -> DataFrame:
 
     ``changes``: scenario_id, s, p, new_value. All values of (s, p) give way to the new ones, which
     keep the datatype of a literal they replace, else are decimals. An unknown subject gains a bare triple.
+    The result is a graph per scenario by meaning; statements that no scenario touches are spread over the
+    scenarios without a join on their keys, only the others are held against the changes.
     """
-    scenarios = changes.select("scenario_id").distinct()
-    touched = changes.select("scenario_id", "s", "p").distinct()
-    spread = graph.select("s", "p", "o", "o_kind", "o_datatype").crossJoin(F.broadcast(scenarios))
-    kept = spread.join(F.broadcast(touched), ["scenario_id", "s", "p"], "left_anti").select("scenario_id", "s", "p", "o", "o_datatype")
-    types = graph.where(F.col("o_kind") == "literal").join(F.broadcast(touched.select("s", "p").distinct()), ["s", "p"], "left_semi").groupBy("s", "p").agg(F.min("o_datatype").alias("t"))
+    changes = cut(changes.select("scenario_id", "s", "p", "new_value"))
+    scenarios = changes.agg(F.collect_set("scenario_id").alias("scenario_id"))
+    touched = changes.groupBy("s", "p").agg(F.collect_set("scenario_id").alias("__in"))
+    known = graph.select("s", "p", "o", "o_kind", "o_datatype").join(small_side(touched), ["s", "p"], "left")
+    # One row with the names of all scenarios; each statement goes to those that do not change it.
+    every = known.join(F.broadcast(scenarios), F.lit(True))
+    kept = every.select(F.explode(F.array_except("scenario_id", F.coalesce("__in", F.array().cast("array<string>")))).alias("scenario_id"), "s", "p", "o", "o_datatype")
+    types = known.where((F.col("o_kind") == "literal") & F.col("__in").isNotNull()).groupBy("s", "p").agg(F.min("o_datatype").alias("t"))
     new = changes.join(types, ["s", "p"], "left").select("scenario_id", "s", "p", F.col("new_value").alias("o"), F.coalesce("t", F.lit(XSD + "decimal")).alias("o_datatype"))
     return kept.unionAll(new).distinct()
 

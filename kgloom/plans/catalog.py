@@ -879,8 +879,8 @@ def document_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def discovered_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules proposed for the individuals of the relational graph, by the offline provider."""
-    return llm_functions.discover_rules(graph.conflict_bags(relational(spark, sf), KG), get_provider)
+    """Rules proposed for the individuals of the fleet, by the offline provider."""
+    return llm_functions.discover_rules(graph.conflict_bags(fleet(spark, sf), FLEET), get_provider)
 
 
 @query()

@@ -48,7 +48,7 @@ def p6_wide(spark: SparkSession, sf: str) -> DataFrame:
     """The wide table itself, with typed columns; dates, numbers and what is beyond their types as text for comparison."""
     store = _store(spark, sf)
     got = store.read()
-    return got.select(*[F.col(c).cast("string").alias(c) if t.startswith("decimal") else F.col(c) for c, t in got.dtypes if c != "beyond"], F.map_keys("beyond").alias("beyond"))
+    return got.select(*[F.col(c).cast("string").alias(c) if t.startswith("decimal") or t == "date" else F.col(c) for c, t in got.dtypes if c != "beyond"], F.map_keys("beyond").alias("beyond"))
 
 
 P3_SQL = """
@@ -97,10 +97,30 @@ SELECT subject_local, property_local, arg_max(value_text, {'v': loaded_at, 't':
 FROM texts WHERE value_text IS NOT NULL AND subject_local <> '' GROUP BY 1, 2
 """
 
+# The datatype properties of tbox, the same at every scale, by their ranges.
+_WIDE = {
+    "date": ("commissionedOn", "lastInspectedOn", "retiredOn"), "integer": ("cycleCount", "slotIndex", "spareCount", "trlLevel"), "decimal": ("doseKrad", "massKg", "powerDrawW"),
+    "double": ("efficiency", "maxTempC"), "string": ("firmwareTag", "operatingMode", "serialNumber", "vendorName"), "boolean": ("flightProven", "isRedundant"),
+}
+
+
+def _wide_sql() -> str:
+    columns, beyond = [], []
+    for kind, names in _WIDE.items():
+        for n in names:
+            text = f"max(CASE WHEN property_local = '{n}' THEN value_text END)"
+            if kind in ("integer", "decimal"):
+                fits = f"regexp_full_match({text}, '{'-?[0-9]{1,26}(.[0-9]{1,12})?' if kind == 'decimal' else '-?[0-9]{1,38}'}')"
+                columns.append(f"CASE WHEN {fits} THEN {text}::DECIMAL(38, {12 if kind == 'decimal' else 0})::VARCHAR END AS {n}")
+                beyond.append(f"CASE WHEN NOT {fits} THEN '{n}' END")
+            else:
+                columns.append(f"{text}{'::' + kind.upper() if kind in ('double', 'boolean') else ''} AS {n}")
+    return f"SELECT subject_local, {', '.join(columns)}, nullif(list_filter([{', '.join(beyond)}], lambda x: x IS NOT NULL), []) AS beyond FROM ({P6_SQL}) GROUP BY 1"
+
 
 def queries() -> dict[str, Query]:
     return {"p2_found": p2_found, "p2_units": p2_units, "p2_record_units": p2_record_units, "p3_found": p3_found, "p6_found": p6_found, "p6_wide": p6_wide}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL, "p6_found": P6_SQL}
+    return {"p3_found": P3_SQL, "p6_found": P6_SQL, "p6_wide": _wide_sql()}

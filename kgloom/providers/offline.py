@@ -14,7 +14,11 @@ _NAME = re.compile(r"\b(?:[A-Z][\w-]*\d[\w-]*|[A-Z][a-z]+(?:[A-Z][a-z]+)+|[A-Z][
 
 _VALUE = re.compile(r"(?<![\w.-])(-?(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:[.,]\d+)?)(?:[eE][+-]?\d+)?)(?!(?:st|nd|rd|th)\b)(?:\s?-\s?(\d+(?:\.\d+)?)(?![-\d]))?")
 _THING = re.compile(r"(?<!\w)[A-Z][\w-]*(?:\s+[A-Z][\w-]*)*(?:\s+\d+(?=\s+(?:has|have|had|is|are|was|were|weighs|with|whose)\b))?")
-_CONFLICT = re.compile(r"\b(?:conflicts?|contradicts?|violates?|violation|incompatible|exceeds?|(?:above|below|over|out of|outside) (?:the |its )?(?:limit|range|tolerance|rating|margin))\b", re.I)
+_CONFLICT = re.compile(
+    r"(?P<subject>(?:\b(?:the|an?)\s+(?:[\w-]+\s+){0,3}?[\w-]+)|[A-Z][\w-]*(?:\s[A-Z][\w-]*)*)\s+(?P<verb>exceed(?:s|ed)|violate[sd]|contradict(?:s|ed)|conflict(?:s|ed) with|is incompatible with|fell below|falls below|fail(?:s|ed) to meet)"
+    r"\s+(?P<object>(?:the|an?)\s+[\w-]+(?:\s+(?!of\b|in\b|for\b|by\b|at\b|with\b|during\b|while\b|and\b)[\w-]+)?|[A-Z][\w-]*(?:\s[A-Z][\w-]*)*)?",
+    re.I,
+)
 _OPENERS = frozenset("The A An Its It This That These Those Each Every All Both In At On For Of With If When While However Its Total Maximum Minimum".split())
 #: Words that may stand between two values of one attribute.
 _LINKS = frozenset("a an the and or but while whereas that those one of for is are was were has have had to at with it its weighs weigh measures measure reaches reach shows show gives give each about approximately nearly only just up than more less over under between from respectively by in on as well also both".split())
@@ -168,12 +172,11 @@ class RuleProvider:
         return {"rules": rules}
 
     def _direct_conflicts(self, p: dict[str, Any]) -> dict[str, Any]:
-        """Sentences that say so, with the first two names in them."""
+        """Sentences in which one thing is said to break another: what stands before and behind the verb."""
         out = []
         for sentence in re.split(r"(?<=[.!?])\s+|\n+", p["text"]):
-            m = _CONFLICT.search(sentence)
-            if m:
-                names = list(dict.fromkeys(_NAME.findall(sentence)))
-                if names:
-                    out.append({"subject": names[0], "object": names[1] if len(names) > 1 else None, "conflict_type": re.sub(r"\W+", "_", m[0].lower()), "evidence": sentence.strip()})
+            for m in _CONFLICT.finditer(sentence):
+                before, behind = (re.sub(r"(?i)^(?:the|an?)\s+", "", x.strip()) for x in (m["subject"], m["object"] or ""))
+                if before:
+                    out.append({"subject": before, "object": behind or None, "conflict_type": re.sub(r"\W+", "_", m["verb"].lower()), "evidence": sentence.strip()})
         return {"conflicts": out}

@@ -337,3 +337,13 @@ def test_cut_forgets_the_plan_and_keeps_the_rows(spark, rows):
     df = spark.range(100).selectExpr("id", "IF(id % 2 = 0, NULL, id) AS x", "array(id) AS a")
     again = session.cut(df)
     assert rows(again) == rows(df) and again.schema.names == df.schema.names and session.cut(df.limit(0)).isEmpty()
+
+
+def test_class_closure_of_any_depth(spark):
+    from kgloom.operators import generate
+
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(120)]
+    df = spark.createDataFrame(chain + [("c120", None), ("x", "y"), ("y", "x")], "local string, parent string")
+    got = {(r[0], r[1]): r[2] for r in generate.class_closure(df).collect()}
+    assert sum(a.startswith("c") for a, _ in got) == 121 * 120 // 2 and got["c0", "c120"] == 120
+    assert got["x", "y"] == 1 and got["x", "x"] == 2

@@ -89,3 +89,66 @@ def test_texts(spark):
     s = spark.createDataFrame([("class", "C", None), ("datatype", "m", "decimal"), ("object", "on", None)], "kind string, local_name string, range_local string")
     assert render.tbox_block(s).first()[0] == "Classes: C\nObject properties: on\nDatatype properties: m (decimal)"
     assert spark.range(1).select(render.self_check_line(F.lit(1), F.lit(4), F.lit(0.25))).first()[0] == "1 of 4 facts found (25.0 %)"
+
+
+def test_rules_are_discovered_in_bounded_batches(spark, rows):
+    from kgloom.providers import functions as pf
+
+    bags = [(f"{NS}P{i}", {"rdf_type": "Pump", "mass": str(10 + i % 3)}) for i in range(40)] + [(NS + "Odd", {"rdf_type": "Pump", "mass": "900"}), (NS + "None", {}), (NS + "Text", {"rdf_type": "Pump", "mass": "heavy"})]
+    df = spark.createDataFrame(bags, "s string, props map<string,string>")
+    got = rows(pf.discover_rules(df, get_provider), "subject", "attribute", "operator")
+    assert got == [("Odd", "mass", ">")]
+    assert rows(pf.discover_rules(df, get_provider, batch=3)) == []  # a batch is too small to say what is usual
+    assert rows(pf.discover_rules(df.limit(0), get_provider)) == []
+
+
+def test_conflicts_of_both_arms(spark, rows):
+    texts = spark.createDataFrame([("d", "All is well. The Main Pump exceeded the mass limit of 3 kg."), ("e", ""), ("f", "Nothing here.")], "doc_id string, text string")
+    found = spark.createDataFrame([("r", "A", "The_Main_Pump", "the_main_pump_has_mass", ">", "3")], "rule_id string, subject string, object string, attribute string, operator string, value string")
+    got = pipelines.find_conflicts(get_provider, _source(spark), NS, texts, found)
+    assert rows(got, "arm", "subject", "object", "conflict_type") == [("document", "Main Pump", "mass limit", "exceeded"), ("ontology", "A", "The_Main_Pump", "the_main_pump_has_mass_>_threshold")]
+    assert pipelines.find_conflicts(get_provider, texts=texts).count() == 1
+    with pytest.raises(ValueError):
+        pipelines.find_conflicts(get_provider)
+
+
+def _tbox(spark):
+    from kgloom.functions.lexical import RDFS, XSD
+
+    rows_ = [("Pump", RDF_TYPE, OWL + "Class"), ("level", RDF_TYPE, OWL + "DatatypeProperty"), ("level", RDFS + "range", XSD + "integer"), ("on", RDF_TYPE, OWL + "ObjectProperty")]
+    return spark.createDataFrame([(NS + s, "iri", p, o, "iri", None, None) for s, p, o in rows_], graph.TRIPLE)
+
+
+def test_entries_that_the_schema_contradicts(spark, rows):
+    xsd = "http://www.w3.org/2001/XMLSchema#"
+    data = [("1", "level", "3", xsd + "integer", "approved"), ("2", "level", "three", xsd + "integer", "approved"), ("3", "on", "x", xsd + "string", "approved"), ("4", "on", NS + "P", None, "approved"), ("5", "new", "x", None, "approved"), ("6", "level", "three", None, "rejected"), ("7", "level", "", None, "approved")]
+    e = spark.createDataFrame([(i, NS + "P", NS + p, o, d, None, s) for i, p, o, d, s in data], "id string, s string, p string, o string, o_datatype string, o_lang string, status string")
+    assert rows(pipelines.invalid(e, _tbox(spark)), "id") == [("2",), ("3",), ("7",)]
+    assert rows(pipelines.invalid(e.limit(0), _tbox(spark))) == []
+
+
+def test_the_whole_workload(spark, rows):
+    schema = "rule_id string, subject_type string, object_type string, attribute string, operator string, value string, unit string"
+    r = spark.createDataFrame([("r1", "Pump", None, "the_main_pump_has_mass", ">", "3", "kg")], schema)
+    made = pipelines.run(_raw(spark), _tbox(spark), get_provider, NS, r)
+    assert made["graph"].count() > 4 and made["rejected"].count() == 0 and {x[0] for x in rows(made["verdicts"], "violated")} <= {True, False}
+
+
+def test_sections_by_a_provider(spark, rows):
+    from kgloom.operators import synthesis
+
+    d = pipelines.sample_delta(spark)
+    anchors = synthesis.anchor_map(d.select("id"))
+    got = synthesis.ask_sections(d, anchors, get_provider)
+    assert {r["title"]: len(r["paragraphs"]) for r in got.collect()} == {"Orbiter": 2, "Tank A": 3}
+
+    class Forgetful:
+        name = "forgetful"
+
+        def complete(self, request):
+            from kgloom.providers.base import Response
+
+            return Response({"title": "x", "paragraphs": ["nothing"]})
+
+    with pytest.raises(Exception, match="other facts"):
+        synthesis.ask_sections(d, anchors, Forgetful).collect()
