@@ -7,7 +7,8 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.operators import align, documents, evaluate, generate, graph, rules
+from kgloom.functions import render
+from kgloom.operators import align, documents, evaluate, generate, graph, rules, synthesis
 from kgloom.plans import pipelines
 from kgloom.providers import functions as llm_functions
 from kgloom.providers import get_provider, list_providers
@@ -39,6 +40,7 @@ def _parser() -> argparse.ArgumentParser:
     add("review", "a delta with a reviewer's decisions (CSV: ord,id,action,new_object,note)", ("--delta", need), ("--reviews", need), ("--save", need), ("--auto-approve", {"action": "store_true"}))
     add("detect-conflicts", "individuals that break proposed rules (JSON lines, else the provider's), and conflicts that documents state, scored against a rule file", ("--owl", opt), ("--doc", opt), ("--namespace", need), ("--proposed", opt), ("--rules", opt), mode, save, provider)
     add("reconstruct", "a graph rebuilt from documents by the pipeline and in one step", ("--owl", need), ("--docs", need), ("--namespace", need), provider)
+    add("demo", "the sample delta as a document with anchors, checked against its facts", provider)
     add("generate", "a graph of generated systems", ("--domain", {"required": True, "choices": generate.ALL_DOMAINS}), ("--count", {"type": int, "default": 1}), ("--namespace", need), ("--save", need), ("--seed", {"type": int, "default": 0}))
     return p
 
@@ -150,6 +152,15 @@ def main(argv: list[str] | None = None) -> int:
         got = pipelines.reconstruct(rdf.load_graph(spark, a.owl), files.load_documents(spark, a.docs), lambda: get_provider(a.provider), a.namespace)
         got["arms"].show(truncate=False)
         got["winner"].show()
+    elif a.command == "demo":
+        d = cut(pipelines.sample_delta(spark))
+        sections = synthesis.ask_sections(d, synthesis.anchor_map(d.select("id")), lambda: get_provider(a.provider))
+        parts = sections.select(F.lit("demo").alias("doc_id"), F.xxhash64("s").alias("section_ix"), "title", F.array_join("paragraphs", " ").alias("paragraph"))
+        made = cut(synthesis.assemble(parts, "demo", "Sample"))
+        print(made.first()["markdown"])
+        checks = synthesis.self_check(d.select(F.lit("demo").alias("doc_id"), "id", "p", "o", "o_datatype"), made.select("doc_id", F.col("markdown").alias("text")))
+        line = evaluate.coverage(checks, ["doc_id"]).select(render.self_check_line(F.col("n_matched"), F.col("n_total"), F.col("coverage")))
+        print(line.first()[0])
     elif a.command == "generate":
         rdf.save_graph(graph.tree_to_graph(generate.systems_table(spark, a.domain, a.count, a.seed), a.namespace), a.save, "nt")
     return 0

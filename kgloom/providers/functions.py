@@ -1,6 +1,6 @@
 """Table functions over a provider: extraction, mapping, judging, checking.
 
-Each filters before it asks, asks once per row inside ``mapInPandas`` with a provider made in the
+Each filters before it asks, asks once per row inside ``mapInArrow`` with a provider made in the
 task, and gives results and errors as columns. Extraction, mapping and judging leave out rows that
 failed and keep the error in ``error``; the others raise, with :func:`raise_errors`.
 """
@@ -11,9 +11,10 @@ import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from kgloom.functions.lexical import RDF_TYPE, RDFS
 from kgloom.functions.text import expand_datatype, make_iri, short_hash
@@ -44,26 +45,24 @@ def ask(rows: DataFrame, task: str, payload: dict[str, str], factory: Callable[[
 
     ``payload``: name in the request -> column, given to the provider as JSON.
     """
-    names = rows.columns
     packed = rows.withColumn("__payload", F.to_json(F.struct(*[F.col(c).alias(k) for k, c in payload.items()]), {"ignoreNullFields": "false"}))
+    answered = StructType([*rows.schema.fields, StructField("answer", StringType()), StructField("error", StringType()), StructField("input_tokens", LongType()), StructField("output_tokens", LongType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = factory()
         for b in batches:
             got: list[tuple[Any, ...]] = []
-            for text in b["__payload"]:
-                data = json.loads(text)
+            for text in b.column(b.num_columns - 1).to_pylist():
                 try:
-                    r = provider.complete(Request(task, SYSTEM[task], text, data, temperature, max_tokens))
+                    r = provider.complete(Request(task, SYSTEM[task], text, json.loads(text), temperature, max_tokens))
                     got.append((json.dumps(r.value, ensure_ascii=False), None, r.usage.input_tokens, r.usage.output_tokens))
                 except Exception as e:  # one row's failure is that row's
                     got.append((None, f"{type(e).__name__}: {e}", 0, 0))
-            yield pd.concat([b[["__row"]].reset_index(drop=True), pd.DataFrame(got, columns=["answer", "error", "input_tokens", "output_tokens"])], axis=1)
+            # The rows' own columns pass as they are.
+            made = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=answered.names)
 
-    keyed = packed.select(F.struct(*names).alias("__row"), "__payload")
-    kept = F.to_json("__row").alias("__row")
-    done = keyed.select(kept, "__payload").mapInPandas(run, "__row string, answer string, error string, input_tokens bigint, output_tokens bigint")
-    return done.withColumn("__row", F.from_json("__row", rows.schema)).select("__row.*", "answer", "error", "input_tokens", "output_tokens")
+    return packed.mapInArrow(run, answered)
 
 
 def raise_errors(answers: DataFrame) -> DataFrame:

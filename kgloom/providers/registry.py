@@ -1,4 +1,4 @@
-"""Providers by name. Network providers can be registered by a caller; none is built in."""
+"""Providers by name. Network providers (``http.ChatProvider``) are registered by a caller with their address; none is built in."""
 
 from __future__ import annotations
 

@@ -51,3 +51,24 @@ def test_review_conflicts_and_reconstruction(spark, tmp_path, capsys):
     (tmp_path / "docs" / "a.md").write_text("# Pumps\nThe Main Pump has mass of 3.5 kg here and now.\n")
     assert cli.main(["reconstruct", "--owl", owl, "--docs", str(tmp_path / "docs"), "--namespace", ns]) == 0
     assert "pipeline" in capsys.readouterr().out
+
+
+def test_demo_and_the_whole_run(spark, tmp_path, capsys):
+    assert cli.main(["demo"]) == 0
+    out = capsys.readouterr().out
+    assert "# Sample" in out and "[T-001]" in out and "facts found (100.0 %)" in out
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# Pumps\nThe Main Pump has mass of 3.5 kg. PumpUnit2 stands near it.\n")
+    (tmp_path / "t.ttl").write_text('@prefix k: <urn:k#> . @prefix owl: <http://www.w3.org/2002/07/owl#> . k:Pump a owl:Class .')
+    (tmp_path / "r.yaml").write_text("namespace: urn:k#\nrules:\n- {id: r1, name: n, subject_type: Pump, when: {attribute: the_main_pump_has_mass, operator: '>', value: 0}}\n")
+    (tmp_path / "s.yaml").write_text("namespace: urn:k#\nscenarios:\n- {id: s1, description: d, component_local: X, changes: [{property_local: massKg, new_value: 1}], ground_truth: [r1]}\n")
+    out_dir = str(tmp_path / "out")
+    assert cli.main(["run", "--input", str(tmp_path / "in"), "--tbox", str(tmp_path / "t.ttl"), "--output", out_dir, "--namespace", "urn:k#", "--rules", str(tmp_path / "r.yaml"), "--scenarios", str(tmp_path / "s.yaml")]) == 0
+    assert "graph" in capsys.readouterr().out and spark.read.parquet(f"{out_dir}/verdicts").count() > 0
+    assert cli.main(["evaluate", "--source", f"{out_dir}/graph.owl/part-*", "--working", f"{out_dir}/graph.owl/part-*"]) == 0
+    rules_, docs = str(tmp_path / "r.yaml"), str(tmp_path / "in")
+    assert cli.main(["check-rules", "--rules", rules_, "--doc", docs, "--mode", "document"]) == 0
+    assert "document" in capsys.readouterr().out
+    assert cli.main(["detect-conflicts", "--doc", docs, "--namespace", "urn:k#", "--mode", "document", "--save", str(tmp_path / "c")]) == 0
+    assert cli.main(["align", "--entities", f"{out_dir}/entities", "--delta", f"{out_dir}/delta", "--apply", "--save", str(tmp_path / "aligned")]) == 0
+    assert spark.read.parquet(str(tmp_path / "aligned")).count() > 0

@@ -248,6 +248,49 @@ def test_stream_of_upserts(spark, rows, tmp_path):
     assert [int(r["level"]) for r in store.read().collect()] == [2]
 
 
+def test_provider_over_http(spark, rows):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from kgloom.providers.base import ProviderError, Request
+    from kgloom.providers.http import ChatProvider
+
+    states, asked = [503, 429, 200, 400, 200], []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(states[len(asked) - 1])
+            self.end_headers()
+            text = '```json\n{"same": true}\n```' if len(asked) == 3 else "[1]"
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": text}}], "usage": {"prompt_tokens": 7, "completion_tokens": 2}}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    p = ChatProvider(f"http://127.0.0.1:{server.server_port}/", "m", lambda: {"X-Key": "k"}, wait=0.01)
+    got = p.complete(Request("same_entity", "system", "user"))
+    assert got.value == {"same": True} and (got.usage.input_tokens, got.usage.output_tokens) == (7, 2) and len(asked) == 3
+    assert asked[0]["messages"][1] == {"role": "user", "content": "user"} and asked[0]["model"] == "m"
+    for message in ("state 400", "no JSON object"):
+        with pytest.raises(ProviderError, match=message):
+            p.complete(Request("same_entity", "system", "user"))
+    server.shutdown()
+    with pytest.raises(ProviderError, match="no answer"):
+        ChatProvider("http://127.0.0.1:9/", "m", tries=2, wait=0.01, timeout=1).complete(Request("x", "s", "u"))
+
+
+def test_answers_keep_the_rows_columns_as_they_are(spark, rows):
+    import datetime as dt
+
+    df = spark.createDataFrame([(1, "long enough a text to be asked about", dt.datetime(2025, 1, 1, 1, 2, 3, 456789), [{"a": 1.5, "b": None}], None, bytearray(b"x"))], "id int, text string, t timestamp, xs array<struct<a:double,b:string>>, n decimal(10,2), raw binary")
+    got = pf.ask(df, "extract", {"text": "text"}, providers.get_provider)
+    assert got.columns[:6] == df.columns and rows(got, *df.columns) == rows(df) and got.first()["error"] is None
+
+
 # The driver's contract
 
 
