@@ -11,11 +11,15 @@ Only ids and lengths are shuffled, never texts.
 
 from __future__ import annotations
 
+import json
 import math
+import os
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,31 +29,59 @@ CAPACITY = 2048
 SHARD_ITEMS = 8192
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
-_LOADED: dict[str, object] = {}
+#: Lengths of parts of texts that a task keeps; they are forgotten where there are more.
+KEPT_PARTS = 1_000_000
 
+# Fixed value: how tokenizers of kind ByteLevel with their own pattern part a text before merging bytes.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
-def _tokenizer(path: str):
-    if path not in _LOADED:
-        import os
 
+class Lengths(dict):
+    """Lengths of texts in tokens of one tokenizer.
+
+    Where the tokenizer parts a text by the well-known pattern and merges within parts only, as its file
+    says, a length is the sum of its parts' lengths, and a part met before is not encoded again. Other
+    tokenizers encode every text whole.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[path] = Tokenizer.from_file(path)
-        _LOADED[path].encode_special_tokens = True
-    return _LOADED[path]
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        spec = json.loads(self.tokenizer.to_str())
+        parted = spec.get("pre_tokenizer") or {}
+        self.by_parts = parted.get("type") == "ByteLevel" and parted.get("use_regex", True) and not parted.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("truncation") and spec["model"]["type"] == "BPE"
+
+    def __missing__(self, part: str) -> int:
+        if len(self) >= KEPT_PARTS:
+            self.clear()
+        self[part] = n = len(self.tokenizer.encode(part, add_special_tokens=False))
+        return n
+
+    def of(self, texts: Sequence[str]) -> list[int]:
+        if self.by_parts:
+            return [sum(map(self.__getitem__, _PARTS.findall(t))) for t in texts]
+        return [len(e) for start in range(0, len(texts), 64) for e in self.tokenizer.encode_batch(texts[start : start + 64], add_special_tokens=False)]
+
+
+@lru_cache(2)
+def _lengths(path: str) -> Lengths:
+    return Lengths(path)
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens: the length of every different non-null text."""
+    """key, n_tokens: the length of every different non-null text.
+
+    ``tokenizer`` is the path of the tokenizer's file on every machine that runs tasks.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = _tokenizer(tokenizer)
+        lengths = _lengths(tokenizer)
         for b in batches:
-            sizes = []
-            for start in range(0, len(b), 64):
-                sizes += [len(e) for e in t.encode_batch(b["text"].iloc[start : start + 64].tolist(), add_special_tokens=False)]
-            yield b[["doc", "h"]].assign(n_tokens=sizes)
+            yield b[["doc", "h"]].assign(n_tokens=lengths.of(b["text"].tolist()))
 
     kind = dict(documents.dtypes)[key]
     texts = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))

@@ -282,6 +282,19 @@ def test_pack_table(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+@given(st.text(max_size=80), st.text(alphabet=st.sampled_from("ab '\u00a0\n\t1\u00bd\u0301.-sé\u4e2d\U0001F600<|endoftext|>"), max_size=80))
+@settings(max_examples=150, deadline=None)
+def test_lengths_by_parts_are_those_of_whole_texts(a, b):
+    lengths = packing._lengths(packing.TOKENIZER)
+    assert lengths.by_parts
+    assert lengths.of([a, b, a + b]) == [len(lengths.tokenizer.encode(t, add_special_tokens=False)) for t in (a, b, a + b)]
+
+
+def test_tokenizers_of_other_kinds_encode_whole_texts():
+    other = packing.Lengths("/opt/tokenizers/word_bpe_49k.json")
+    assert not other.by_parts and other.of(["Hello  World", ""]) == [2, 0]
+
+
 def test_token_counts(spark, rows):
     df = spark.createDataFrame([(1, "hello world"), (1, "hello world"), (2, ""), (3, None), (None, "x"), (4, "<|endoftext|> " * 3)], "doc_id long, text string")
     got = dict(rows(packing.token_counts(df)))
