@@ -195,6 +195,61 @@ def test_candidates_decisions_and_rewrite(spark, rows):
     assert rows(align.rewrite(delta, m), "s", "o") == [("urn:a", "1"), ("urn:a", "1"), ("urn:b", "2")]
 
 
+def _above_the_join(df):
+    """Nodes of the optimised plan that the joined pairs pass through."""
+    return df._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_similar_pairs_are_not_shuffled(spark):
+    df = spark.createDataFrame([("Main Pump",), ("Main Pump 1",), ("MP",)], "surface string")
+    assert "Aggregate" not in _above_the_join(align.similar_surfaces(df))
+
+
+def test_blocks_of_hot_words_keep_every_pair_once(spark, rows, monkeypatch):
+    monkeypatch.setattr(align, "BLOCK_SURFACES", 7)
+    r = random.Random(8)
+    names = sorted({" ".join([r.choice("abcdefgh"), *r.sample(["Star", "Tracker", "Head", "ST", "x"], r.randint(1, 4))]) for _ in range(70)} | {"STH", "star_tracker_head"})
+    pairs = spark.createDataFrame([(a, b) for a, b in itertools.combinations(names, 2)], "a string, b string")
+    want = rows(pairs.select("a", "b", T.similarity(F.col("a"), F.col("b")).alias("m")).where("m.score >= 0.4").select("a", "b", "m.score", "m.method"))
+    assert rows(align.similar_surfaces(spark.createDataFrame([(n,) for n in names], "surface string"))) == want
+
+
+def _all_candidates(spark, e):
+    """The first pair by ord of every unordered pair of ids, by comparing all rows."""
+    texts = sorted({t for _, _, t in e if t is not None})
+    both = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string").select("a", "b", T.similarity(F.col("a"), F.col("b")).alias("m"))
+    score = {(x["a"], x["b"]): x["m"] for x in both.collect()}
+    first = {}
+    for a, b in itertools.combinations(sorted({x for x in e if x[2] is not None}, key=lambda x: x[0]), 2):
+        m = score[a[2], b[2]]
+        if a[0] < b[0] and m["score"] >= 0.4:
+            ids = sorted(x for x in (a[1], b[1]) if x is not None)
+            first.setdefault((ids[0], ids[-1]) if ids else None, (a[0], b[0], a[1], b[1], a[2], b[2], m["score"], m["method"]))
+    return sorted(first.values(), key=repr)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_candidates_are_all_pairs_of_entities(spark, rows, monkeypatch, repeated):
+    monkeypatch.setattr(align, "BLOCK_ENTITIES", 6)
+    monkeypatch.setattr(align, "CHUNK", 2)
+    r = random.Random(9)
+    words = ["alpha", "beta", "gamma", "X1", "pump", "unit", "PU"]
+    names = [r.choice([" ", "_"]).join(r.sample(words, r.randint(1, 4))) for _ in range(25)] + ["pu", "__", "--", None]
+    e = [(i, f"e{i}", r.choice(names)) for i in range(70)]
+    if repeated:  # ids of several rows, in the same and in other spellings, and rows without an id
+        e = [(i, r.choice([f"e{i}", f"e{i % 20}", f"e{i % 20}", None]), t) for i, _, t in e]
+    e += e[:9]
+    columns = ["ord_a", "ord_b", "entity_id_a", "entity_id_b", "surface_a", "surface_b", "score", "method"]
+    c = align.candidates(spark.createDataFrame(e, "ord long, id string, text_span string"))
+    assert rows(c, *columns) == _all_candidates(spark, e)
+    assert repeated or "Aggregate" not in _above_the_join(c)
+
+
+def test_candidates_of_ids_with_the_separator_stay_apart(spark, rows):
+    e = spark.createDataFrame([(0, "a|b", "Main Pump"), (1, "c", "main pump"), (2, "a", "Valve"), (3, "b|c", "valve")], "ord long, id string, text_span string")
+    assert rows(align.candidates(e), "entity_id_a", "entity_id_b") == [("a", "b|c"), ("a|b", "c")]
+
+
 def test_best_match(spark, rows):
     w = spark.createDataFrame([("OBC",), ("ThermalControlUnit",), ("Same",), ("Nothing",)], "name string")
     s = spark.createDataFrame([("OutboardBusController",), ("ThermalControlSystem",), ("Same",), ("ThermalControlSuite",)], "name string")
